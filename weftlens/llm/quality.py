@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 from .common import written
 
 MIN_WORDS, MIN_ROWS, REACH = 50, 100, 3
-SLACK = {"symbols": 150, "lines": 300, "repeats": 150, "length": 100}
+SLACK = {"symbols": 150, "lines": 500, "repeats": 150, "length": 100}
 #: Groups of language and source whose thresholds may be broadcast.
 BROADCAST_GROUPS = 50_000
 BLANK = " \t\n\x0b\x0c\r"

@@ -30,6 +30,12 @@ DIM = 1 << 18
 SCALE = 30.0
 #: Labelled rows that the model is fitted on, about: the documented bound of the sample, toxic and not.
 TOXIC_ROWS, CLEAN_ROWS = 1500, 3000
+DECAY = 1e-5
+STEPS = 80
+#: A feature has a weight if this many texts of the sample hold it, and its share of the texts of grade 0 and of the others
+#: differs by so many standard errors.
+MIN_TEXTS = 4
+MIN_Z = 4.0
 CACHE = 400_000
 
 
@@ -71,8 +77,8 @@ class Model:
         return _sigmoid(z[:, None] - self.cuts[None, :]) * some[:, None]
 
 
-def fit_grades(texts: list[str], grades: np.ndarray, steps: int = 120, rate: float = 0.5, decay: float = 1e-5) -> Model:
-    """Full-batch Adam on the likelihood of the ordered grades 0..K-1."""
+def fit_grades(texts: list[str], grades: np.ndarray, weight: np.ndarray | None = None, steps: int = STEPS, rate: float = 0.5, decay: float = DECAY) -> Model:
+    """Full-batch Adam on the weighted likelihood of the ordered grades 0..K-1."""
     rows, feats, vals = [], [], []
     memo: dict[str, tuple[int, int, int]] = {}
     for i, t in enumerate(texts):
@@ -85,10 +91,18 @@ def fit_grades(texts: list[str], grades: np.ndarray, steps: int = 120, rate: flo
             rows += (i, i, i)
             feats += f
             vals += (n / len(ws),) * 3
-    rows, cols = np.array(rows, np.int64), np.array(feats, np.int64)
-    used, cols = np.unique(cols, return_inverse=True)
-    vals = SCALE * np.array(vals)
+    rows, feats, vals = np.array(rows, np.int64), np.array(feats, np.int64), SCALE * np.array(vals)
+    held = np.unique(rows * DIM + feats)
+    high, of, n1 = grades[held // DIM] > 0, held % DIM, int((grades > 0).sum())
+    k1, k0 = np.bincount(of[high], minlength=DIM), np.bincount(of[~high], minlength=DIM)
+    p = (k1 + k0) / len(texts)
+    gap = k1 / max(n1, 1) - k0 / max(len(texts) - n1, 1)
+    telling = np.abs(gap) >= MIN_Z * np.sqrt(p * (1 - p) * (1 / max(n1, 1) + 1 / max(len(texts) - n1, 1)) + 1e-12)
+    telling &= k1 + k0 >= MIN_TEXTS
+    rows, feats, vals = rows[telling[feats]], feats[telling[feats]], vals[telling[feats]]
+    used, cols = np.unique(feats, return_inverse=True)
     n, k = len(texts), int(grades.max()) + 1
+    share = np.full(n, 1 / n) if weight is None else weight / weight.sum()
     w, cuts = np.zeros(len(used)), np.arange(k - 1, dtype=float) + 1
     m, v, mc, vc = np.zeros_like(w), np.zeros_like(w), np.zeros_like(cuts), np.zeros_like(cuts)
     for step in range(1, steps + 1):
@@ -97,8 +111,8 @@ def fit_grades(texts: list[str], grades: np.ndarray, steps: int = 120, rate: flo
         hi, lo = _sigmoid(edge[grades + 1] - z), _sigmoid(edge[grades] - z)
         p = np.maximum(hi - lo, 1e-9)
         dh, dl = hi * (1 - hi) / p, lo * (1 - lo) / p
-        g = np.bincount(cols, vals * ((dh - dl) / n)[rows], minlength=len(w)) + decay * w
-        gc = np.array([-(dh[grades == j].sum() - dl[grades == j + 1].sum()) / n for j in range(k - 1)])
+        g = np.bincount(cols, vals * ((dh - dl) * share)[rows], minlength=len(w)) + decay * w
+        gc = np.array([dl[grades == j + 1] @ share[grades == j + 1] - dh[grades == j] @ share[grades == j] for j in range(k - 1)])
         m, v, mc, vc = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mc + 0.1 * gc, 0.99 * vc + 0.01 * gc * gc
         a, b = 1 - 0.9**step, 1 - 0.99**step
         w -= rate * (m / a) / (np.sqrt(v / b) + 1e-8)
@@ -122,10 +136,11 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_
     if len(set(y.tolist())) < 2:
         return None
     texts = got["text"].tolist()
-    first = fit_grades(texts, y, steps=60)
+    weight = np.where(y == 1, size[1] / (y == 1).sum(), size[0] / (y == 0).sum())  # as in all labelled rows
+    first = fit_grades(texts, y, weight, steps=STEPS // 2)
     score = first.above(texts)[:, 0]
     grades = y + ((y == 1) & (score > np.median(score[y == 1])))
-    return fit_grades(texts, grades)
+    return fit_grades(texts, grades, weight)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
