@@ -6,7 +6,7 @@
    discretised in dyadic intervals [0,1), [1,2), [2,4), ...: one process an interval serves all registers (rate times
    REGISTERS, a hash deals each point to a register), points of the interval that the weight only partly covers are
    thinned by their place in it, and a process stops once it is later than all registers of its text.
-2. Bands. 25 bands of 4 registers: a pair at 0.8 shares one with probability 1 - 1.7e-6. Texts with the same words in the
+2. Bands. 28 bands of 6 registers: a pair at 0.8 shares one with probability 1 - 2e-4, a pair at 0.85 with 1 - 1e-6. Texts with the same words in the
    same order are one class and enter once.
 3. Verification. In every bucket of a band the least class is the pivot; each member is compared with it, on the exact
    multisets. Members that end up in different components are compared again, pivot by pivot, and at last in full, so no
@@ -32,10 +32,14 @@ from pyspark.sql import functions as F
 from .common import WORD, small_batches, written
 
 WORDS, SIMILARITY = 5, 0.8
-BANDS, ROWS = 25, 4
+BANDS, ROWS = 28, 6
 REGISTERS = BANDS * ROWS
 #: Rounds with one pivot a bucket before the rest of a bucket is compared in full.
-PIVOT_ROUNDS = 6
+PIVOT_ROUNDS = 3
+#: The rest is compared in full as soon as its pairs are at most so many times the classes.
+PAIRS_PER_CLASS = 4
+#: Classes whose keys may be broadcast to fetch their texts: at most about 10 MB.
+BROADCAST_KEYS = 100_000
 CACHE = 300_000
 _words: dict[str, int] = {}
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -175,7 +179,9 @@ def components(edges: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """pairs(a, b) of classes whose bags are at least SIMILARITY alike; the texts are fetched for these classes only."""
     need = pairs.select(F.explode(F.array("a", "b")).alias("wkey")).distinct().join(classes.select("wkey", "rep"), "wkey")
-    need = need.select("wkey", F.col("rep.doc_id").alias("_id"), F.col("rep.tkey").alias("_t"))
+    need = written(need.select("wkey", F.col("rep.doc_id").alias("_id"), F.col("rep.tkey").alias("_t")))
+    if need.count() <= BROADCAST_KEYS:
+        need = F.broadcast(need)
     rows = docs.select("doc_id", F.unhex(F.md5("text")).alias("tkey"), "text")
     texts = rows.join(need, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tkey") == F.col("_t"))).groupBy("wkey").agg(F.first("text").alias("text"))
     texts = written(texts)
@@ -218,6 +224,7 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = members.filter("wkey <> pivot").select("pivot", "wkey", "n").distinct().join(sizes, "pivot").filter(alike)
     edges = written(verified(written(first.select(*_pairs("pivot", "wkey"))), classes, docs))
     comps = written(components(edges))
+    count = classes.count()
     open_ = members.filter("wkey <> pivot").select("band", "wkey", "n")
     for round_ in range(PIVOT_ROUNDS + 1):
         named = open_.join(comps, open_["wkey"] == comps["node"], "left").select("band", "wkey", "n", F.coalesce("comp", "wkey").alias("comp"))
@@ -227,7 +234,7 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
         other = open_.select(F.col("band").alias("b2"), F.col("wkey").alias("w2"), F.col("n").alias("pn"), F.col("comp").alias("c2"), "pivot")
         many = open_.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("band").agg((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))).alias("k")).agg(F.sum("k")).first()[0]
-        full = round_ == PIVOT_ROUNDS or many <= 4 * open_.count()
+        full = round_ == PIVOT_ROUNDS or many <= PAIRS_PER_CLASS * count
         if not full:  # one pivot a bucket against the rest
             other = other.filter("w2 = pivot")
         pick = (F.col("band") == F.col("b2")) & (F.col("comp") != F.col("c2")) & (F.col("wkey") < F.col("w2") if full else F.lit(True)) & alike
