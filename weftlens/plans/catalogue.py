@@ -1,9 +1,333 @@
-"""Registered queries and their SQL."""
+"""Registered queries on the driver's tables, each with the SQL that computes the same rows."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-def oracle_sql():
-    return {}
+from ..functions import predicates as P
+from ..functions import text as X
+from ..operators import features as E
+from ..operators import frequency as Q
+from ..operators import matching as M
+from ..operators import multitext as U
+from ..operators import results as R
+from ..operators import units as N
+from ..sources import exports, store
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+STOPWORDS = 50
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _tokens(spark: SparkSession, d: str, table: str, key: str) -> DataFrame:
+    """(unit, pos, form) of the lines of a table; a unit is `id:line`."""
+    t = N.token_positions(N.plain_units(_table(spark, d, table), key, "text"), key)
+    return t.select(F.concat_ws(":", key, "unit").alias("unit"), "pos", "form", F.col(key))
+
+
+def _units_sql(table: str, key: str, name: str) -> str:
+    return f"""{name}_l AS (SELECT {key}, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM {table}),
+{name}_w AS (SELECT {key}, line_no, regexp_extract_all(lower(line), '\\p{{L}}+') AS w FROM {name}_l WHERE trim(line) <> ''),
+{name} AS (SELECT {key}, {key} || ':' || line_no AS unit, unnest(w) AS form, generate_subscripts(w, 1) - 1 AS pos FROM {name}_w)"""
+
+
+TOK = _units_sql("documents", "doc_id", "tok")
+BEN = _units_sql("benchmark", "item_id", "ben")
+
+
+@query("SELECT doc_id, CAST(unit AS BIGINT) AS unit, snippet FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS snippet, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS unit FROM documents) WHERE trim(snippet) <> ''")
+def unit_lines(spark, d):
+    return N.plain_units(_table(spark, d, "documents"), "doc_id", "text").select("doc_id", F.col("unit").cast("long"), "snippet")
+
+
+@query("SELECT doc_id, CAST(unit AS BIGINT) AS unit, snippet FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[.?!;:\\n]+')) AS snippet, generate_subscripts(regexp_split_to_array(text, '[.?!;:\\n]+'), 1) - 1 AS unit FROM documents) WHERE trim(snippet) <> ''")
+def unit_phrases(spark, d):
+    return N.plain_units(_table(spark, d, "documents"), "doc_id", "text", "phrase").select("doc_id", F.col("unit").cast("long"), "snippet")
+
+
+@query(f"WITH {TOK} SELECT unit, CAST(pos AS BIGINT) AS pos, form FROM tok")
+def token_positions(spark, d):
+    return _tokens(spark, d, "documents", "doc_id").select("unit", F.col("pos").cast("long"), "form")
+
+
+@query(f"WITH {TOK}, g AS (SELECT unnest([substr(form, CAST(i AS BIGINT), 3) FOR i IN range(1, length(form) - 1)]) AS feature FROM tok WHERE length(form) >= 3) SELECT feature, CAST(count(*) AS BIGINT) AS n FROM g GROUP BY feature")
+def trigram_counts(spark, d):
+    return Q.feature_counts(E.exploded(E.sound_features(_tokens(spark, d, "documents", "doc_id"))))
+
+
+@query(f"WITH {TOK} SELECT doc_id, form AS feature, CAST(count(*) AS BIGINT) AS n FROM tok GROUP BY doc_id, form")
+def feature_counts(spark, d):
+    return Q.feature_counts(_tokens(spark, d, "documents", "doc_id").withColumnRenamed("form", "feature"), "doc_id")
+
+
+@query(f"WITH {TOK} SELECT form AS feature, CAST(count(*) AS BIGINT) AS n, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 9) AS freq FROM tok GROUP BY form")
+def corpus_frequency(spark, d):
+    return Q.corpus_frequencies(_tokens(spark, d, "documents", "doc_id").withColumnRenamed("form", "feature")).withColumn("freq", F.round("freq", 9))
+
+
+@query(f"WITH {TOK} SELECT form, round(CAST(sum(count(*)) OVER () AS DOUBLE) / count(*), 6) AS inv FROM tok GROUP BY form")
+def inverse_text_frequency(spark, d):
+    return Q.inverse_frequencies(_tokens(spark, d, "documents", "doc_id")).withColumn("inv", F.round("inv", 6))
+
+
+PREFIX = "CASE WHEN length(form) >= 6 THEN substr(form, 1, 6) ELSE form END"
+
+
+def _stems(tokens: DataFrame) -> DataFrame:
+    """A toy lemma: the first six letters."""
+    return tokens.withColumn("features", F.array(F.substring("form", 1, 6)))
+
+
+@query(f"WITH {BEN}, c AS (SELECT form, count(*) AS k, {PREFIX} AS f FROM ben GROUP BY form) SELECT a.form, CAST(sum(b.k) AS BIGINT) AS n FROM c a JOIN c b USING (f) GROUP BY a.form")
+def cofeature_forms(spark, d):
+    return Q.cofeature_counts(_stems(_tokens(spark, d, "benchmark", "item_id")))
+
+
+@query(f"WITH {TOK}, c AS (SELECT {PREFIX} AS f, count(*) AS k FROM tok GROUP BY 1), q AS (SELECT f, k / CAST(sum(k) OVER () AS DOUBLE) AS freq FROM c) SELECT form, round(1.0 / avg(freq), 6) AS inv FROM (SELECT DISTINCT form, {PREFIX} AS f FROM tok) JOIN q USING (f) GROUP BY form")
+def inverse_average_frequency(spark, d):
+    t = _stems(_tokens(spark, d, "documents", "doc_id"))
+    return Q.inverse_averaged_frequencies(t, Q.corpus_frequencies(E.exploded(t))).withColumn("inv", F.round("inv", 6))
+
+
+STOP = f"stop AS (SELECT form AS feature, CAST(count(*) AS BIGINT) AS n FROM tok GROUP BY form ORDER BY n DESC, feature LIMIT {STOPWORDS})"
+
+
+def _stop(spark: SparkSession, d: str) -> DataFrame:
+    return Q.stoplist(Q.feature_counts(_tokens(spark, d, "documents", "doc_id").withColumnRenamed("form", "feature")), STOPWORDS)
+
+
+@query(f"WITH {TOK}, {STOP} SELECT * FROM stop")
+def stoplist_corpus(spark, d):
+    return _stop(spark, d)
+
+
+@query(f"WITH {TOK}, {BEN} SELECT feature, CAST(count(*) AS BIGINT) AS n FROM (SELECT form AS feature FROM tok UNION ALL SELECT form FROM ben) GROUP BY feature ORDER BY n DESC, feature LIMIT 10")
+def stoplist_texts(spark, d):
+    both = _tokens(spark, d, "documents", "doc_id").select(F.col("form").alias("feature")).unionByName(_tokens(spark, d, "benchmark", "item_id").select(F.col("form").alias("feature")))
+    return Q.stoplist(Q.feature_counts(both), 10)
+
+
+def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Target: documents; source: benchmark; each token once, its form the feature, with the inverse text frequency."""
+    out = []
+    for table, key in (("documents", "doc_id"), ("benchmark", "item_id")):
+        t = _tokens(spark, d, table, key)
+        out.append(t.withColumn("feature", F.col("form")).join(Q.inverse_frequencies(t), "form"))
+    return out[0], out[1]
+
+
+SIDES = f"""{TOK}, {BEN}, {STOP},
+ti AS (SELECT form, CAST(sum(count(*)) OVER () AS DOUBLE) / count(*) AS inv FROM tok GROUP BY form),
+si AS (SELECT form, CAST(sum(count(*)) OVER () AS DOUBLE) / count(*) AS inv FROM ben GROUP BY form),
+hits AS (SELECT t.unit AS t_unit, s.unit AS s_unit, t.pos AS t_pos, s.pos AS s_pos, t.form AS form, ti.inv AS t_inv, si.inv AS s_inv
+  FROM tok t JOIN ben s ON t.form = s.form JOIN ti ON ti.form = t.form JOIN si ON si.form = s.form WHERE t.form NOT IN (SELECT feature FROM stop)),
+cand AS (SELECT t_unit, s_unit FROM hits GROUP BY 1, 2 HAVING count(DISTINCT (t_pos, s_pos)) >= 2),
+tp AS (SELECT DISTINCT t_unit, s_unit, t_pos AS pos, form, t_inv AS inv FROM hits SEMI JOIN cand USING (t_unit, s_unit)),
+sp AS (SELECT DISTINCT t_unit, s_unit, s_pos AS pos, form, s_inv AS inv FROM hits SEMI JOIN cand USING (t_unit, s_unit)),
+feats AS (SELECT t_unit, s_unit, string_agg(DISTINCT form, ' ' ORDER BY form) AS features FROM hits SEMI JOIN cand USING (t_unit, s_unit) GROUP BY 1, 2)"""
+
+
+def _match_sql(gap: str, keep: str) -> str:
+    side = lambda p: f"{p}d AS (SELECT t_unit, s_unit, {gap} + 1 AS dist, sum(inv) AS num FROM {p}p GROUP BY 1, 2 HAVING count(DISTINCT form) >= 2)"
+    return f"WITH {SIDES}, {side('t')}, {side('s')} SELECT t_unit, s_unit, features, CAST(td.dist + sd.dist AS BIGINT) AS distance, round(ln(td.num + sd.num) - ln(td.dist + sd.dist), 6) AS score FROM td JOIN sd USING (t_unit, s_unit) JOIN feats USING (t_unit, s_unit){keep}"
+
+
+def _shown(found: DataFrame) -> DataFrame:
+    return found.select("t_unit", "s_unit", F.array_join("features", " ").alias("features"), F.col("distance").cast("long"), F.round("score", 6).alias("score"))
+
+
+@query(_match_sql("max(pos) - min(pos)", ""))
+def match_form_span(spark, d):
+    t, s = _sides(spark, d)
+    return _shown(M.match(t, s, _stop(spark, d), distance="span", max_distance=None))
+
+
+NEAREST = "abs((list(pos ORDER BY inv DESC, pos))[1] - (list(pos ORDER BY inv DESC, pos))[2])"
+
+
+@query(_match_sql(NEAREST, " WHERE td.dist + sd.dist <= 10"))
+def match_form_frequency(spark, d):
+    t, s = _sides(spark, d)
+    return _shown(M.match(t, s, _stop(spark, d), distance="frequency", max_distance=10))
+
+
+@query()
+def match_sound(spark, d):
+    """Benchmark items against each other by sound trigrams (not in SQL: multiplicities and first occurrences by candidate)."""
+    t = E.exploded(E.sound_features(_tokens(spark, d, "benchmark", "item_id")))
+    inv = Q.inverse_frequencies(t.withColumn("form", F.col("feature"))).withColumnRenamed("form", "feature")
+    idx = F.row_number().over(Window.partitionBy("unit").orderBy("pos", "feature")) - 1
+    t = t.withColumn("idx", idx).withColumn("form", F.col("feature")).join(inv, "feature")
+    stop = Q.stoplist(Q.feature_counts(t), STOPWORDS * 4)
+    found = M.match_sound(t.withColumn("unit", F.concat(F.lit("t"), "unit")), t, stop).filter(F.substring("t_unit", 2, 99) < F.col("s_unit"))
+    return _shown(found)
+
+
+def _bridge(tokens: DataFrame) -> DataFrame:
+    """A toy translation table: a form and its first six letters."""
+    return tokens.filter(F.length("form") >= 6).select(F.col("form").alias("feature"), F.substring("form", 1, 6).alias("other")).distinct()
+
+
+@query(f"WITH {BEN}, b AS (SELECT DISTINCT form, substr(form, 1, 6) AS o FROM ben WHERE length(form) >= 6) SELECT DISTINCT x.form AS feature, y.form AS sibling FROM b x JOIN b y USING (o)")
+def bridge_closure(spark, d):
+    return M.bridge_closure(_bridge(_tokens(spark, d, "benchmark", "item_id")))
+
+
+@query(f"""WITH {TOK}, {BEN},
+ti AS (SELECT form, CAST(sum(count(*)) OVER () AS DOUBLE) / count(*) AS inv FROM tok GROUP BY form), si AS (SELECT form, CAST(sum(count(*)) OVER () AS DOUBLE) / count(*) AS inv FROM ben GROUP BY form),
+hits AS (SELECT t.unit AS t_unit, s.unit AS s_unit, t.pos AS t_pos, s.pos AS s_pos, t.form AS t_form, s.form AS s_form, s.form AS f, ti.inv AS t_inv, si.inv AS s_inv
+  FROM tok t JOIN ben s ON length(t.form) >= 6 AND substr(t.form, 1, 6) = s.form JOIN ti ON ti.form = t.form JOIN si ON si.form = s.form),
+cand AS (SELECT t_unit, s_unit FROM hits GROUP BY 1, 2 HAVING count(DISTINCT (t_pos, s_pos)) >= 2),
+tp AS (SELECT DISTINCT t_unit, s_unit, t_pos AS pos, t_form AS form, t_inv AS inv FROM hits SEMI JOIN cand USING (t_unit, s_unit)),
+sp AS (SELECT DISTINCT t_unit, s_unit, s_pos AS pos, s_form AS form, s_inv AS inv FROM hits SEMI JOIN cand USING (t_unit, s_unit)),
+feats AS (SELECT t_unit, s_unit, string_agg(DISTINCT f, ' ' ORDER BY f) AS features FROM hits SEMI JOIN cand USING (t_unit, s_unit) GROUP BY 1, 2),
+td AS (SELECT t_unit, s_unit, max(pos) - min(pos) + 1 AS dist, sum(inv) AS num FROM tp GROUP BY 1, 2 HAVING count(DISTINCT form) >= 2),
+sd AS (SELECT t_unit, s_unit, max(pos) - min(pos) + 1 AS dist, sum(inv) AS num FROM sp GROUP BY 1, 2 HAVING count(DISTINCT form) >= 2)
+SELECT t_unit, s_unit, features, CAST(td.dist + sd.dist AS BIGINT) AS distance, round(ln(td.num + sd.num) - ln(td.dist + sd.dist), 6) AS score FROM td JOIN sd USING (t_unit, s_unit) JOIN feats USING (t_unit, s_unit)""")
+def match_bridge(spark, d):
+    t, s = _sides(spark, d)
+    return _shown(M.match_bridge(t, s, _bridge(t.select("form")), distance="span", max_distance=None))
+
+
+@query(f"""WITH {BEN}, i AS (SELECT form, CAST(sum(count(*)) OVER () AS DOUBLE) / count(*) AS inv FROM ben GROUP BY form), t AS (SELECT * FROM ben JOIN i USING (form))
+SELECT CAST(a.item_id AS VARCHAR) AS text_id, a.unit, least(a.form, b.form) AS w1, greatest(a.form, b.form) AS w2, round(arg_min(ln((a.inv + b.inv) / (b.pos - a.pos)), a.pos * 100000 + b.pos), 6) AS score
+FROM t a JOIN t b ON a.unit = b.unit AND a.pos < b.pos GROUP BY a.item_id, a.unit, 3, 4""")
+def bigrams_first_wins(spark, d):
+    t = _tokens(spark, d, "benchmark", "item_id")
+    f = t.withColumn("feature", F.col("form")).join(Q.inverse_frequencies(t), "form").withColumn("text_id", F.col("item_id").cast("string"))
+    return U.bigrams(f).withColumn("score", F.round("score", 6))
+
+
+@query()
+def multitext_lookup(spark, d):
+    """Feature pairs of the form matches, looked up among the benchmark's bigrams."""
+    found = match_form_frequency(spark, d).select(F.concat_ws("|", "t_unit", "s_unit").alias("match_id"), F.split("features", " ").alias("features"))
+    out = U.multitext(found, bigrams_first_wins(spark, d))
+    return out.select("match_id", "w1", "w2", F.size("units").cast("long").alias("n"), F.transform("units", lambda x: x["unit"]).alias("units"))
+
+
+@query("SELECT * FROM (SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders) WHERE o_orderstatus IN ('F', 'P') AND o_orderpriority NOT IN ('1-URGENT', '5-LOW')")
+def filter_lists(spark, d):
+    return _table(spark, d, "orders").filter(P.build_filter(o_orderstatus=["F", "P"], o_orderpriority_not=["1-URGENT", "5-LOW"])).select("o_orderkey", "o_orderstatus", "o_orderpriority")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity, l_discount FROM lineitem WHERE l_quantity BETWEEN 10 AND 20 AND (l_discount < 0.02 OR l_discount > 0.08)")
+def filter_ranges(spark, d):
+    return _table(spark, d, "lineitem").filter(P.build_filter(l_quantity=(20, 10), l_discount_not=(0.02, 0.08))).select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
+
+
+@query("SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING list_sort(list(DISTINCT l_returnflag)) = ['A', 'R']")
+def filter_set_equal(spark, d):
+    flags = _table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_returnflag").alias("flags"))
+    return flags.filter(P.set_equal(F.col("flags"), ["R", "A"])).select("l_orderkey")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 40")
+def page_by_score(spark, d):
+    return R.page(_table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "descending", 20, 2, ("o_orderkey",))
+
+
+@query("SELECT source, doc_id FROM documents ORDER BY regexp_extract(source, '^\\D*', 0), CAST(regexp_extract(source, '\\d+', 0) AS INT), doc_id LIMIT 100 OFFSET 100")
+def page_natural_sort(spark, d):
+    docs = _table(spark, d, "documents").select("source", "doc_id")
+    return docs.orderBy(X.natural_key(F.col("source")), "doc_id").offset(100).limit(100)
+
+
+@query("SELECT doc_id, source || ' ' || lang || ' ' || CAST(doc_id AS VARCHAR) AS tag FROM documents")
+def display_tags(spark, d):
+    return _table(spark, d, "documents").select("doc_id", X.display_tag(F.col("source"), F.col("lang"), F.array(F.col("doc_id").cast("string"))).alias("tag"))
+
+
+@query("SELECT p_partkey, regexp_replace(p_name, '^([^\\s\\d.!,;?&-]+)', '**\\1**') AS shown FROM part")
+def highlight_first_word(spark, d):
+    return _table(spark, d, "part").select("p_partkey", X.highlight(F.col("p_name"), F.array(F.lit(0))).alias("shown"))
+
+
+@query("SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS result, round(o_totalprice * 10 / max(o_totalprice) OVER (), 6) AS normal_score FROM orders")
+def ranked_scores(spark, d):
+    o = _table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("score"))
+    return R.ranked(o, ("o_orderkey",)).select("o_orderkey", "result", F.round("normal_score", 6).alias("normal_score"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n, max(o_totalprice) AS max_score FROM orders")
+def score_summary(spark, d):
+    return R.summary(_table(spark, d, "orders").withColumnRenamed("o_totalprice", "score"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def insert_new_only(spark, d):
+    return store.new_rows(_table(spark, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), _table(spark, d, "customer").select("c_custkey", "c_name"), ["c_custkey"])
+
+
+@query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer")
+def upsert_rows(spark, d):
+    c = _table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    return store.upserted(c.select("c_custkey", "c_acctbal"), c.filter("c_mktsegment = 'BUILDING'").select("c_custkey", F.lit(0.0).alias("c_acctbal")), ["c_custkey"])
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")
+def cascade_semi_join(spark, d):
+    gone = _table(spark, d, "customer").filter("c_nationkey = 3").select(F.col("c_custkey").alias("o_custkey"))
+    return _table(spark, d, "orders").join(gone, "o_custkey", "left_semi").select("o_orderkey")
+
+
+@query("SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM events WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY event_type")
+def retention_sweep(spark, d):
+    e = _table(spark, d, "events")
+    last = e.agg(F.max("ts").alias("last"))
+    return e.join(F.broadcast(last)).filter(P.older_than(F.col("ts"), 7, F.col("last"))).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_orderkey, CAST(len(parts) AS BIGINT) AS n, array_to_string(parts, ',') AS parts FROM (SELECT o_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey) FILTER (WHERE l_partkey IS NOT NULL) AS parts FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey) WHERE parts IS NOT NULL")
+def lookup_left_array(spark, d):
+    items = _table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("items"))
+    out = _table(spark, d, "orders").select("o_orderkey").join(items, "o_orderkey", "left").filter("items is not null")
+    return out.select("o_orderkey", F.size("items").cast("long").alias("n"), F.array_join(F.transform("items", lambda x: x["l_partkey"].cast("string")), ",").alias("parts"))
+
+
+@query("SELECT o_custkey, o_orderdate, o_totalprice FROM orders WHERE o_orderstatus = 'O' ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 10")
+def aggregation_pipeline(spark, d):
+    return _table(spark, d, "orders").filter("o_orderstatus = 'O'").orderBy(F.desc("o_totalprice"), "o_orderkey").offset(10).limit(50).select("o_custkey", "o_orderdate", "o_totalprice")
+
+
+@query("SELECT source, CAST(k AS VARCHAR) AS division, CAST(count(*) AS BIGINT) AS n FROM (SELECT source, doc_id % 7 AS k FROM documents) WHERE k <> 3 GROUP BY source, k")
+def map_entry_removal(spark, d):
+    """Counts kept as a map a row; one key is dropped from every map."""
+    n = _table(spark, d, "documents").groupBy("source", (F.col("doc_id") % 7).cast("string").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    maps = n.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("frequencies"))
+    return store.without_text(maps, "3").select("source", F.explode("frequencies").alias("division", "n"))
+
+
+@query()
+def export_rows(spark, d):
+    """The export columns of the ranked form matches, snippets highlighted."""
+    m = match_form_frequency(spark, d)
+    r = R.ranked(m, ("t_unit", "s_unit"))
+    r = r.select("result", F.col("t_unit").alias("target_tag"), F.col("features").alias("target_snippet"), F.col("s_unit").alias("source_tag"), F.col("features").alias("source_snippet"), F.split("features", " ").alias("features"), "normal_score", "score")
+    return exports.export_rows(r)
