@@ -9,7 +9,7 @@
 2. Bands. 28 bands of 6 registers: a pair at 0.8 shares one with probability 1 - 2e-4, a pair at 0.85 with 1 - 1e-6. Texts with the same words in the
    same order are one class and enter once.
 3. Verification. In every bucket of a band the least class is the pivot; each member is compared with it, on the exact
-   multisets. Members that end up in different components are compared again, pivot by pivot, and at last in full, so no
+   multisets. Members that are not yet known to be connected are compared again, pivot by pivot, and at last in full, so no
    link of a candidate bucket is lost, but a group of copies costs pairs in proportion to its size, not to its square.
 4. Components of the verified links by alternating large-star and small-star steps, on tables.
 
@@ -159,23 +159,58 @@ def sketched(docs: DataFrame) -> DataFrame:
     return written(rows.mapInPandas(run, "doc_id long, tkey binary, wkey binary, n long, bands array<long>"))
 
 
+def _union(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Edges (u, v) of a partition, some hundred thousand at once, to edges from each node to the least node it reaches there."""
+    held: dict[bytes, bytes] = {}
+
+    def root(x: bytes) -> bytes:
+        while (y := held.get(x, x)) != x:
+            held[x] = held.get(y, y)
+            x = y
+        return x
+
+    def forest() -> pd.DataFrame:
+        rows = [(x, root(x)) for x in list(held)]
+        held.clear()
+        return pd.DataFrame([r for r in rows if r[0] != r[1]], columns=["u", "v"])
+
+    for pdf in batches:
+        for u, v in zip(pdf["u"], pdf["v"], strict=True):
+            u, v = root(u), root(v)
+            held[max(u, v)] = held[min(u, v)] = min(u, v)
+        if len(held) >= CACHE:
+            yield forest()
+    yield forest()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """edges(a, b), a < b, to (node, comp): comp is the least node that can be reached. Large-star and small-star steps."""
-    now, mark = edges.select(F.col("b").alias("u"), F.col("a").alias("v")).distinct(), None
-    while True:
+    """edges(a, b), a < b, to (node, comp): comp is the least node that can be reached.
+
+    The edges of a partition are contracted first; then large-star and small-star steps until nothing changes."""
+    now = written(edges.select(F.col("b").alias("u"), F.col("a").alias("v")).mapInPandas(_union, "u binary, v binary"))
+    sign = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+    mark = sign(now)
+    while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         now = written(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct())
-        new = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+        new = sign(now)
         if new == mark:
             break
         mark = new
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
+def partial_labels(edges: DataFrame) -> DataFrame:
+    """(node, comp): nodes of one label are connected, though connected nodes may have two labels. Two steps of pointers."""
+    near = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("comp"))
+    far = near.select(F.col("node").alias("_n"), F.col("comp").alias("_c"))
+    return near.join(far, F.col("comp") == F.col("_n"), "left").select("node", F.coalesce("_c", "comp").alias("comp"))
+
+
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """pairs(a, b) of classes whose bags are at least SIMILARITY alike; the texts are fetched for these classes only."""
     need = pairs.select(F.explode(F.array("a", "b")).alias("wkey")).distinct().join(classes.select("wkey", "rep"), "wkey")
@@ -223,7 +258,7 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     alike = F.least("n", "pn") >= SIMILARITY * F.greatest("n", "pn")
     first = members.filter("wkey <> pivot").select("pivot", "wkey", "n").distinct().join(sizes, "pivot").filter(alike)
     edges = written(verified(written(first.select(*_pairs("pivot", "wkey"))), classes, docs))
-    comps = written(components(edges))
+    comps = written(partial_labels(edges))
     count = classes.count()
     open_ = members.filter("wkey <> pivot").select("band", "wkey", "n")
     for round_ in range(PIVOT_ROUNDS + 1):
@@ -242,10 +277,11 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         more = written(verified(pairs, classes, docs))
         if not more.isEmpty():
             edges = written(edges.unionByName(more))
-            comps = written(components(edges))
         if full:
             break
+        comps = written(partial_labels(edges))
         open_ = open_.filter("wkey <> pivot").select("band", "wkey", "n")
+    comps = written(components(edges))
     named = classes.select("wkey", "rep", "rows").join(comps, F.col("wkey") == F.col("node"), "left").select("wkey", "rep", "rows", F.coalesce("comp", "wkey").alias("comp"))
     named = written(named)
     heads = named.groupBy("comp").agg(F.min("rep").alias("head"), F.sum("rows").alias("class_size"))

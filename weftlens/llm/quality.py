@@ -95,12 +95,12 @@ def limits(sketch: DataFrame, keys: list[str], tag: str) -> DataFrame:
 def thresholds(measures: DataFrame) -> DataFrame:
     """(lang, source, hi_symbols, hi_lines, hi_repeats, hi_length, lo_length) of every group that has a text to judge."""
     fine = written(sketches(measures))
-    whole = merged(fine.withColumn("one", F.lit(1)), "one")
-    own = limits(fine, ["lang", "source"], "a").withColumn("one", F.lit(1))
+    every = limits(merged(fine.withColumn("one", F.lit(1)), "one"), ["one"], "c").first()  # one row
+    own = limits(fine, ["lang", "source"], "a")
     lang = limits(merged(fine, "lang"), ["lang"], "b").withColumnRenamed("lang", "_lang")
-    out = own.join(lang, F.col("lang").eqNullSafe(F.col("_lang")), "left").join(limits(whole, ["one"], "c"), "one", "left")
+    out = own.join(lang, F.col("lang").eqNullSafe(F.col("_lang")), "left")
     names = [*(f"hi_{k}" for k in SLACK), "lo_length"]
-    pick = lambda n: F.when(F.col("a_n") >= MIN_ROWS, F.col(f"a_{n}")).when(F.col("b_n") >= MIN_ROWS, F.col(f"b_{n}")).otherwise(F.col(f"c_{n}"))
+    pick = lambda n: F.when(F.col("a_n") >= MIN_ROWS, F.col(f"a_{n}")).when(F.col("b_n") >= MIN_ROWS, F.col(f"b_{n}")).otherwise(F.lit(every[f"c_{n}"] if every else None).cast("long"))
     return written(out.select("lang", "source", *[pick(n).alias(n) for n in names]))
 
 
