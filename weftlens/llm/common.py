@@ -52,6 +52,11 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def packed(docs: DataFrame, *more: Column) -> DataFrame:
+    """docs as one column _doc, so that no column of theirs clashes with the operator's own; `_doc.*` unpacks it."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *more)
+
+
 def n_words(text: Column) -> Column:
     """Number of words `[^\\x20\\x09-\\x0D]+`, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

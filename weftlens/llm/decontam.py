@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, gram_codes, known_words, member, small_batches, written
+from .common import WORD, gram_codes, known_words, member, packed, small_batches, written
 
 GRAM, WINDOW, MIN_SCORE = 4, 4, 0.5
 #: Test items whose index is broadcast at once; more items take more passes.
@@ -190,4 +190,4 @@ def clean(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE, block
     key = F.concat_ws(":", F.col("doc_id").cast("string"), F.md5("text"))
     hit = written(_find(docs.select("doc_id", "text", key.alias("_row")), items, min_score, block).select(F.col("_row").alias("_hit")).distinct())
     side = F.broadcast(hit) if hit.count() <= 100_000 else hit
-    return docs.withColumn("_row", key).join(side, F.col("_row") == F.col("_hit"), "left_anti").drop("_row")
+    return packed(docs, key.alias("_row")).join(side, F.col("_row") == F.col("_hit"), "left_anti").select("_doc.*")

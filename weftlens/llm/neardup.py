@@ -8,10 +8,13 @@
    thinned by their place in it, and a process stops once it is later than all registers of its text.
 2. Bands. 28 bands of 6 registers: a pair at 0.8 shares one with probability 1 - 2e-4, a pair at 0.85 with 1 - 1e-6. Texts with the same words in the
    same order are one class and enter once.
-3. Verification. In every bucket of a band the least class is the pivot; each member is compared with it, on the exact
-   multisets. Members that are not yet known to be connected are compared again, pivot by pivot, and at last in full, so no
-   link of a candidate bucket is lost, but a group of copies costs pairs in proportion to its size, not to its square.
-4. Components of the verified links by alternating large-star and small-star steps, on tables.
+3. Verification. A class is the more central the more classes share buckets with it. The most central class of a bucket is
+   its pivot; each member is compared with it, on the exact multisets. A group of copies costs pairs in proportion to its
+   size, not to its square.
+4. The rest. Members of a bucket that are not all connected then are open. Two open classes can only be SIMILARITY alike if
+   they share a shingle in their prefixes (the rarest shingles, with more than the rest that may differ), early enough for
+   the shingles after it to suffice. These are joined and verified too, so no link of a bucket is lost; the filter is exact.
+5. Components of the verified links by alternating large-star and small-star steps, on tables.
 
 Words are `\\w+` in lower case; a text with fewer than five words is a single shingle. Defined results: texts that are null
 or have no word belong to no group (class_id is their doc_id, size 1); class_id is the least doc_id of the group and null
@@ -28,16 +31,13 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import WORD, small_batches, written
+from .common import WORD, packed, small_batches, written
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 28, 6
 REGISTERS = BANDS * ROWS
-#: Rounds with one pivot a bucket before the rest of a bucket is compared in full.
-PIVOT_ROUNDS = 3
-#: The rest is compared in full as soon as its pairs are at most so many times the classes.
-PAIRS_PER_CLASS = 4
 #: Classes whose keys may be broadcast to fetch their texts: at most about 10 MB.
 BROADCAST_KEYS = 100_000
 CACHE = 300_000
@@ -204,24 +204,21 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def partial_labels(edges: DataFrame) -> DataFrame:
-    """(node, comp): nodes of one label are connected, though connected nodes may have two labels. Two steps of pointers."""
-    near = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("comp"))
-    far = near.select(F.col("node").alias("_n"), F.col("comp").alias("_c"))
-    return near.join(far, F.col("comp") == F.col("_n"), "left").select("node", F.coalesce("_c", "comp").alias("comp"))
-
-
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """pairs(a, b) of classes whose bags are at least SIMILARITY alike; the texts are fetched for these classes only."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("wkey")).distinct().join(classes.select("wkey", "rep"), "wkey")
-    need = written(need.select("wkey", F.col("rep.doc_id").alias("_id"), F.col("rep.tkey").alias("_t")))
+def texts_of(members: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(key, text) of the classes that share a bucket; written, as each is compared more than once."""
+    keys = members.select("key").distinct().withColumn("wkey", F.expr("substring(key, 9)"))
+    need = written(keys.join(classes.select("wkey", "rep"), "wkey").select("key", F.col("rep.doc_id").alias("_id"), F.col("rep.tkey").alias("_t")))
     if need.count() <= BROADCAST_KEYS:
         need = F.broadcast(need)
     rows = docs.select("doc_id", F.unhex(F.md5("text")).alias("tkey"), "text")
-    texts = rows.join(need, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tkey") == F.col("_t"))).groupBy("wkey").agg(F.first("text").alias("text"))
-    texts = written(texts)
-    both = (pairs.join(texts.select(F.col("wkey").alias("b"), F.col("text").alias("tb")), "b")
-            .join(texts.select(F.col("wkey").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb"))
+    found = rows.join(need, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tkey") == F.col("_t")))
+    return written(found.groupBy("key").agg(F.first("text").alias("text")))
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs(a, b) of classes whose bags are at least SIMILARITY alike."""
+    both = (pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
+            .join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: OrderedDict[bytes, tuple] = OrderedDict()
@@ -241,9 +238,42 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     return both.mapInPandas(run, "a binary, b binary")
 
 
-def _pairs(left: str, right: str) -> tuple:
-    """Two class keys as (a, b), a < b."""
-    return F.least(left, right).alias("a"), F.greatest(left, right).alias("b")
+def prefix_pairs(open_: DataFrame, texts: DataFrame) -> DataFrame:
+    """open_(key, n, comp) to pairs (a, b) of different components that may be SIMILARITY alike; an exact filter.
+
+    Shingles are ordered by the number of open classes that hold them. r is what a class has from a shingle on: two classes
+    whose first common shingle has r and r2 share at most the lesser of them, and must share s / (1 + s) of both sizes. So
+    r is at least s * n, and for the smaller class 2s / (1 + s) * n. Shingles of one class only can't be common."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for key, n, text in zip(pdf["key"], pdf["n"], pdf["text"], strict=True):
+                shingle, weight = bag(text)
+                yield pd.DataFrame({"key": key, "n": n, "shingle": shingle.view(np.int64), "c": weight})
+
+    s, slack = SIMILARITY, 1e-6
+    rows = written(open_.select("key", "n").join(texts, "key").mapInPandas(run, "key binary, n long, shingle long, c long"))
+    common = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    order = Window.partitionBy("key").orderBy(F.desc("df"), F.desc("shingle")).rowsBetween(Window.unboundedPreceding, 0)
+    prefix = rows.join(common, "shingle").withColumn("r", F.sum("c").over(order)).filter(F.col("r") >= s * F.col("n") - slack)
+    prefix = written(prefix.select("key", "n", "shingle", "r").join(open_.select("key", "comp"), "key"))
+    less = prefix.filter(F.col("r") >= 2 * s / (1 + s) * F.col("n") - slack)
+    less = less.select(F.col("key").alias("k2"), F.col("n").alias("n2"), "shingle", F.col("r").alias("r2"), F.col("comp").alias("c2"))
+    ahead = (F.col("n") > F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("key") > F.col("k2")))
+    enough = (F.col("n2") >= s * F.col("n") - slack) & (F.least("r", "r2") >= s / (1 + s) * (F.col("n") + F.col("n2")) - slack)
+    both = prefix.join(less, (prefix["shingle"] == less["shingle"]) & (F.col("comp") != F.col("c2")) & ahead & enough)
+    return both.select(F.least("key", "k2").alias("a"), F.greatest("key", "k2").alias("b")).distinct()
+
+
+def shared_buckets(classes: DataFrame) -> DataFrame:
+    """(key, n, band) of classes that are not alone in a band's bucket; written. A key sorts the more central class first:
+    eight bytes fall as the number of classes in its buckets grows, the class's own key follows."""
+    members = classes.select("wkey", "n", F.explode("bands").alias("band"))
+    shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    members = written(members.join(shared, "band"))
+    central = members.groupBy("wkey").agg((F.lit((1 << 62) - 1) - F.sum("m")).alias("d"))
+    key = F.concat(F.unhex(F.lpad(F.hex("d"), 16, "0")), F.col("wkey")).alias("key")
+    return written(members.join(central, "wkey").select(key, "n", "band"))
 
 
 def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -251,37 +281,21 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = sketched(docs)
     classes = written(rows.filter(F.col("wkey").isNotNull()).groupBy("wkey").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")).alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    members = classes.select("wkey", "n", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.min("wkey").alias("pivot"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
-    members = written(members.join(shared, "band"))
-    sizes = classes.select(F.col("wkey").alias("pivot"), F.col("n").alias("pn"))
+    members = shared_buckets(classes)
+    texts = texts_of(members, classes, docs)
+    pivots = members.groupBy("band").agg(F.min(F.struct("key", "n")).alias("p")).select("band", F.col("p.key").alias("a"), F.col("p.n").alias("pn"))
     alike = F.least("n", "pn") >= SIMILARITY * F.greatest("n", "pn")
-    first = members.filter("wkey <> pivot").select("pivot", "wkey", "n").distinct().join(sizes, "pivot").filter(alike)
-    edges = written(verified(written(first.select(*_pairs("pivot", "wkey"))), classes, docs))
-    comps = written(partial_labels(edges))
-    count = classes.count()
-    open_ = members.filter("wkey <> pivot").select("band", "wkey", "n")
-    for round_ in range(PIVOT_ROUNDS + 1):
-        named = open_.join(comps, open_["wkey"] == comps["node"], "left").select("band", "wkey", "n", F.coalesce("comp", "wkey").alias("comp"))
-        mixed = named.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("wkey").alias("pivot")).filter("lo <> hi").select("band", "pivot")
-        open_ = written(named.join(mixed, "band"))
-        if open_.isEmpty():
-            break
-        other = open_.select(F.col("band").alias("b2"), F.col("wkey").alias("w2"), F.col("n").alias("pn"), F.col("comp").alias("c2"), "pivot")
-        many = open_.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("band").agg((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))).alias("k")).agg(F.sum("k")).first()[0]
-        full = round_ == PIVOT_ROUNDS or many <= PAIRS_PER_CLASS * count
-        if not full:  # one pivot a bucket against the rest
-            other = other.filter("w2 = pivot")
-        pick = (F.col("band") == F.col("b2")) & (F.col("comp") != F.col("c2")) & (F.col("wkey") < F.col("w2") if full else F.lit(True)) & alike
-        pairs = written(open_.drop("pivot").join(other.drop("pivot"), pick).select(*_pairs("wkey", "w2")).distinct())
-        more = written(verified(pairs, classes, docs))
-        if not more.isEmpty():
-            edges = written(edges.unionByName(more))
-        if full:
-            break
-        comps = written(partial_labels(edges))
-        open_ = open_.filter("wkey <> pivot").select("band", "wkey", "n")
+    first = members.join(pivots, "band").filter((F.col("key") != F.col("a")) & alike).select("a", F.col("key").alias("b")).distinct()
+    edges = written(verified(written(first), texts))
     comps = written(components(edges))
+    named = members.join(comps, F.col("key") == F.col("node"), "left").select("band", "key", "n", F.coalesce("comp", "key").alias("comp"))
+    mixed = named.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("band")
+    open_ = written(named.join(mixed, "band", "left_semi").select("key", "n", "comp").distinct())
+    if not open_.isEmpty():
+        more = written(verified(written(prefix_pairs(open_, texts)), texts))
+        if not more.isEmpty():
+            comps = written(components(edges.unionByName(more)))
+    comps = comps.select(F.expr("substring(node, 9)").alias("node"), "comp")
     named = classes.select("wkey", "rep", "rows").join(comps, F.col("wkey") == F.col("node"), "left").select("wkey", "rep", "rows", F.coalesce("comp", "wkey").alias("comp"))
     named = written(named)
     heads = named.groupBy("comp").agg(F.min("rep").alias("head"), F.sum("rows").alias("class_size"))
@@ -303,15 +317,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with one row of each group, and all rows without words."""
     rows, classes = grouped(docs.select("doc_id", "text"))
-    lone = rows.filter(F.col("wkey").isNull()).select("doc_id", "tkey")
-    heads = classes.select(F.col("class_id").alias("doc_id"), F.col("class_tkey").alias("tkey")).distinct()
-    keep = heads.select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_t"))
-    keyed = docs.withColumn("_tkey", F.unhex(F.md5("text")))
-    kept = keyed.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tkey") == F.col("_t")), "left_semi")
-    again = rows.select("doc_id", "tkey").join(heads.withColumnsRenamed({"doc_id": "_id", "tkey": "_t"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tkey") == F.col("_t")), "left_semi")
+    heads = classes.select(F.col("class_id").alias("_id"), F.col("class_tkey").alias("_t")).distinct()
+    same = lambda t: F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(t) == F.col("_t"))
+    kept = packed(docs, F.col("doc_id"), F.unhex(F.md5("text")).alias("tkey")).join(heads, same("tkey"), "left_semi")
+    again = rows.select("doc_id", "tkey").join(heads, same("tkey"), "left_semi")
     if not again.groupBy("doc_id", "tkey").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "_tkey"])
-    kept = kept.drop("_tkey")
-    if lone.isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "tkey"])
+    kept = kept.select("_doc.*")
+    if rows.filter(F.col("wkey").isNull()).isEmpty():
         return kept
     return kept.unionByName(docs.filter(F.col("text").isNull() | ~F.col("text").rlike(r"(?U)\w")))

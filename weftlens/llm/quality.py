@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import packed, written
 
 MIN_WORDS, MIN_ROWS, REACH = 50, 100, 3
 SLACK = {"symbols": 150, "lines": 500, "repeats": 150, "length": 100}
@@ -126,12 +126,11 @@ def assess(docs: DataFrame) -> DataFrame:
 
 def passing(docs: DataFrame) -> DataFrame:
     """docs without the rows that are not kept. The texts are measured twice instead of being shuffled or written."""
-    cols = docs.columns
     t = thresholds(written(measured(docs.select("doc_id", "text", "lang", "source")).drop("text")))
     t = t.withColumnsRenamed({"lang": "_lang", "source": "_source"})
     if t.count() <= BROADCAST_GROUPS:
         t = F.broadcast(t)
-    inner = measured(docs.select(F.struct(*cols).alias("_doc"), "text", "lang", "source"))
+    inner = measured(packed(docs, *map(F.col, ("text", "lang", "source"))))
     out = inner.join(t, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     ok = ~base_failed() & (rates()["length"] >= F.col("lo_length"))
     for k, v in rates().items():
