@@ -53,6 +53,7 @@ class Index:
             for x in w:
                 self.vocab.setdefault(x, len(self.vocab) + 1)
         self.ids = [[self.vocab[x] for x in w] for w in words]
+        self.bands = [min(BAND, max(1, len(w) // 3)) for w in words]  # narrower than the template: copies in a row stay apart
         self.where: dict[int, list[tuple[int, int]]] = {}
         for t, ids in enumerate(self.ids):
             codes = gram_codes(np.array(ids, np.int64), GRAM).tolist()
@@ -68,12 +69,12 @@ class Index:
         open_: dict[int, list[list[int]]] = {}  # template -> [least diagonal, greatest, last position] of each candidate
         for p in member(codes, self.keys).tolist():
             for t, q in self.where[int(codes[p])]:
-                d = p - q
+                d, band = p - q, self.bands[t]
                 for c in reversed(open_.setdefault(t, [])):
-                    if c[2] < p - len(self.ids[t]) - BAND:
+                    if c[2] < p - len(self.ids[t]) - band:
                         open_[t].append([d, d, p])
                         break
-                    if abs(d - c[0]) <= BAND and abs(d - c[1]) <= BAND:
+                    if abs(d - c[0]) <= band and abs(d - c[1]) <= band:
                         c[0], c[1], c[2] = min(d, c[0]), max(d, c[1]), p
                         break
                 else:
@@ -81,7 +82,7 @@ class Index:
         found = []
         for t, candidates in open_.items():
             for lo, hi, _ in candidates:
-                n, a, b = banded(self.ids[t], ids, (lo + hi) // 2, BAND)
+                n, a, b = banded(self.ids[t], ids, (lo + hi) // 2, self.bands[t])
                 if n >= MIN_COVERAGE * len(self.ids[t]):
                     found.append((-n, t, a, b))
         kept: list[tuple[int, int, int, int]] = []

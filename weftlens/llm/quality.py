@@ -136,3 +136,35 @@ def passing(docs: DataFrame) -> DataFrame:
     for k, v in rates().items():
         ok = ok & (v <= F.col(f"hi_{k}"))
     return out.filter(ok).select("_doc.*")
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL for assess() of the table documents."""
+    rates = {"symbols": "n_symbols * 1000 // greatest(n_words, 1)", "lines": "n_dup_lines * 1000 // greatest(n_lines, 1)",
+             "repeats": "n_repeat_words * 1000 // greatest(n_words, 1)", "length": "word_chars * 100 // greatest(n_words, 1)"}
+    each = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS rate, r_{k} AS v FROM judged WHERE NOT base_failed" for k in rates)
+
+    def limits(name: str, keys: str) -> str:
+        picks = ", ".join(f"max(CASE WHEN rate = '{k}' THEN q75 + {REACH} * (q75 - q25) + {s} END) AS hi_{k}" for k, s in SLACK.items())
+        return f"""{name} AS (SELECT {keys}max(n) AS n, {picks}, max(CASE WHEN rate = 'length' THEN q25 - {REACH} * (q75 - q25) - {SLACK["length"]} END) AS lo_length FROM (
+  SELECT {keys}rate, max(total) AS n, min(CASE WHEN 100 * upto >= 25 * total THEN b END) AS q25, min(CASE WHEN 100 * upto >= 75 * total THEN b END) AS q75 FROM (
+    SELECT {keys}rate, b, sum(k) OVER (PARTITION BY {keys}rate ORDER BY b) AS upto, sum(k) OVER (PARTITION BY {keys}rate) AS total
+    FROM (SELECT {keys}rate, b, count(*) AS k FROM bins GROUP BY {keys}rate, b)) GROUP BY {keys}rate) GROUP BY {keys or "()"})""".replace(", )", ")")
+
+    names = [*(f"hi_{k}" for k in SLACK), "lo_length"]
+    pick = ", ".join(f"CASE WHEN a.n >= {MIN_ROWS} THEN a.{n} WHEN b.n >= {MIN_ROWS} THEN b.{n} ELSE c.{n} END AS {n}" for n in names)
+    within = " AND ".join(f"r_{k} <= hi_{k}" for k in rates)
+    fine, lang, all_ = (limits(*x) for x in (("fine", "lang, source, "), ("by_lang", "lang, "), ("every", "")))
+    return rf"""WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+split AS (SELECT rid, doc_id, lang, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS l FROM docs),
+grams AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM split WHERE len(w) >= 3)),
+twice AS (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS k FROM grams) WHERE k > 1),
+again AS (SELECT rid, count(DISTINCT p) AS n FROM twice GROUP BY rid),
+counts AS (SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(again.n, 0) AS BIGINT) AS n_repeat_words FROM split LEFT JOIN again USING (rid)),
+judged AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed, {", ".join(f"{v} AS r_{k}" for k, v in rates.items())} FROM counts),
+bins AS (SELECT lang, source, rate, CASE WHEN v < 128 THEN v ELSE (v >> (length(bin(v)) - 7)) << (length(bin(v)) - 7) END AS b FROM ({each})),
+{fine}, {lang}, {all_},
+limits AS (SELECT a.lang, a.source, {pick} FROM fine a JOIN by_lang b ON a.lang IS NOT DISTINCT FROM b.lang CROSS JOIN every c)
+SELECT doc_id, {", ".join(COUNTS)}, base_failed, NOT base_failed AND coalesce({within} AND r_length >= lo_length, false) AS kept
+FROM judged j LEFT JOIN limits t ON j.lang IS NOT DISTINCT FROM t.lang AND j.source IS NOT DISTINCT FROM t.source"""
