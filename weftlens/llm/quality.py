@@ -49,7 +49,9 @@ def measured(docs: DataFrame) -> DataFrame:
     same = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
     again = F.filter("_s", lambda x, j: ((j > 0) & same(x, F.get("_s", F.greatest(j - 1, F.lit(0))))) | same(x, F.get("_s", j + 1)))
     places = F.array_distinct(F.flatten(F.transform(again, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))
-    return third.select(*kept, *COUNTS[:4], F.coalesce(F.size(places), F.lit(0)).cast("long").alias("n_repeat_words"), "_lines")
+    # a row of one element: filters on the counts stay above it, so that no count is worked out again for each use
+    one = F.array(F.struct(*COUNTS[:4], F.coalesce(F.size(places), F.lit(0)).cast("long").alias("n_repeat_words"), "_lines"))
+    return third.select(*kept, F.explode(one).alias("_m")).select(*kept, "_m.*")
 
 
 def base_failed() -> Column:
