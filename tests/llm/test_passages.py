@@ -57,6 +57,19 @@ def test_blocks_of_items_change_nothing(spark, tables):
     assert a == b
 
 
+def test_copies_in_a_row_are_reported_one_by_one(spark, tables):
+    _, items, _ = tables
+    text = items[3][1]
+    words = text.split()
+    edited = " ".join(["edited" if j == len(words) // 2 else w for j, w in enumerate(words)])
+    docs = [(1, f"{text} {text}"), (2, f"x {text} {edited} y {text} z")]
+    got = D.find(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    spans = sorted((r.doc_id, r.start, r.end) for r in got if r.item_id == 3)
+    n, m = len(text), len(edited)
+    assert spans == [(1, 0, n), (1, n + 1, 2 * n + 1), (2, 2, 2 + n), (2, 3 + n, 3 + n + m), (2, 6 + n + m, 6 + 2 * n + m)]
+    assert len(got) == 5
+
+
 def test_clean_drops_only_the_contaminated(spark, tables):
     docs, items, planted = tables
     rows = [(*d, "r", "h") for d in docs] + [(None, None, "r", "h"), (4, "", "r", "h"), (4, "", "r", "h"), (None, items[0][1], "r", "h")]

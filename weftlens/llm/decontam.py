@@ -6,7 +6,8 @@
    so a passage that shares GRAM + WINDOW - 1 words in a row with an item is always joined to it, however common it is.
 3. Each pair of passage and item with a common seed is aligned word by word (Smith-Waterman: match 2, mismatch and gap
    -1). The score is the alignment's divided by 2 * words of the item; from MIN_SCORE on the pair is reported, so edited
-   and reordered copies are found too.
+   and reordered copies are found too. What lies left and right of a reported span is aligned again, so each of several
+   copies in a row gives a row.
 
 No step groups documents, so a passage that a third of them share costs no task more than its rows. Items are taken to the
 workers in blocks of at most BLOCK_ITEMS, so the broadcast index has a bound at any number of items.
@@ -108,6 +109,18 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int]:
     return top, matched, j, end
 
 
+def aligned(a: np.ndarray, b: np.ndarray, least: float) -> list[tuple[int, int, int, int]]:
+    """align() of a with b, then with what lies left and right of each span, while the score reaches `least`."""
+    out, todo = [], [(0, len(b))]
+    while todo:
+        lo, hi = todo.pop()
+        top, matched, x, y = align(a, b[lo:hi])
+        if matched and top >= least:
+            out.append((top, matched, lo + x, lo + y))
+            todo += [(lo, lo + x), (lo + y, hi)]
+    return sorted(out, key=lambda r: r[2])
+
+
 def find(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE, block: int = BLOCK_ITEMS) -> DataFrame:
     """docs(doc_id, text), items(item_id, text) to (doc_id, item_id, score, matched, start, end)."""
     return _find(docs.select("doc_id", "text"), items, min_score, block).drop("_row")
@@ -147,7 +160,7 @@ def _block(docs: DataFrame, tests: DataFrame, min_score: float) -> DataFrame:
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         items, index = held.value, seeds.value
-        memo: dict[tuple[int, bytes], tuple[int, int, int, int]] = {}
+        memo: dict[tuple[int, bytes], list[tuple[int, int, int, int]]] = {}
         for pdf in batches:
             rows = []
             for r, (ids, starts, ends, grams, places) in enumerate(zip(pdf["ids"], pdf["starts"], pdf["ends"], pdf["grams"], pdf["places"], strict=True)):
@@ -164,9 +177,8 @@ def _block(docs: DataFrame, tests: DataFrame, min_score: float) -> DataFrame:
                         if key not in memo:
                             if len(memo) > 20_000:
                                 memo.clear()
-                            memo[key] = align(item, ids[a:b])
-                        top, matched, x, y = memo[key]
-                        if top >= min_score * 2 * len(item):
+                            memo[key] = aligned(item, ids[a:b], min_score * 2 * len(item))
+                        for top, matched, x, y in memo[key]:
                             rows.append((r, items.names[t], top / (2 * len(item)), matched, int(starts[a + x]), int(ends[a + y - 1])))
             out = pd.DataFrame(rows, columns=["r", "item_id", "score", "matched", "start", "end"]).drop_duplicates()
             r = out.pop("r").to_numpy(np.int64)
