@@ -51,6 +51,31 @@ def test_scores_are_those_of_the_whole_alignment(spark, tables):
         assert abs(got[(d, t)] - D.align(a, b)[0] / (2 * len(a))) < 1e-9
 
 
+def test_copies_with_every_fifth_to_seventh_word_changed(spark):
+    """Against alignments of all pairs; the new words are in no item, so no passage holds the grams that they break."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(300)]
+    items = [[rng.choice(vocabulary) for _ in range(rng.randrange(20, 45))] for _ in range(12)]
+    docs = []
+    for k, every in [(k, e) for k in range(12) for e in (5, 6, 7)]:
+        copy = [f"new{j}" if j % every == every - 1 else w for j, w in enumerate(items[k])]
+        docs.append([rng.choice(vocabulary) for _ in range(30)] + copy + [rng.choice(vocabulary) for _ in range(30)])
+    # words put between the copy's: few runs of four are left, and the copy is much longer than the item
+    docs += [[x for j, w in enumerate(items[k]) for x in ([w, "put"] if j >= 12 and j % 2 else [w])] for k in range(12)]
+    vocab = {f"w{i}": i + 1 for i in range(300)}
+    want = {}
+    for d, words in enumerate(docs):
+        for t, item in enumerate(items):
+            a, b = np.array([vocab[w] for w in item]), np.array([vocab.get(w, 0) for w in words])
+            b[~np.isin(b, a)] = 0
+            score = D.align(a, b)[0] / (2 * len(a))
+            if score >= D.MIN_SCORE:
+                want[(d, t)] = score
+    assert len(want) >= 48
+    got = D.find(spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(docs)], DOCS), spark.createDataFrame([(t, " ".join(w)) for t, w in enumerate(items)], ITEMS)).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in got} == pytest.approx(want)
+
+
 def test_blocks_of_items_change_nothing(spark, tables):
     docs, items, _ = tables
     a, b = (sorted(map(tuple, D.find(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), block=k).collect())) for k in (20_000, 5))

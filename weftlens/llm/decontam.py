@@ -1,13 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
 
 1. One pass over the whole texts looks every four-word gram up among the grams of the test items. Where one occurs, the
    stretch of words that the item would cover there is cut out: a passage. Passages are few and short; they are written.
-2. The passages that hold each gram are counted. Of every WINDOW consecutive grams of an item the rarest one is a seed,
-   so a passage that shares GRAM + WINDOW - 1 words in a row with an item is always joined to it, however common it is.
-3. Each pair of passage and item with a common seed is aligned word by word (Smith-Waterman: match 2, mismatch and gap
-   -1). The score is the alignment's divided by 2 * words of the item; from MIN_SCORE on the pair is reported, so edited
-   and reordered copies are found too. What lies left and right of a reported span is aligned again, so each of several
-   copies in a row gives a row.
+2. Every gram found is a seed, however common it is: a passage is joined to each item with which it shares GRAM words in
+   a row. Copies that keep no GRAM words in a row are not found.
+3. Each such pair of passage and item is aligned word by word (Smith-Waterman: match 2, mismatch and gap -1). The score is
+   the alignment's divided by 2 * words of the item; from MIN_SCORE on the pair is reported, so edited and reordered copies
+   are found too. A pair whose common words can't reach MIN_SCORE, even if all of them matched, isn't aligned. The words
+   read around a seed hold every alignment through it that reaches MIN_SCORE, so the score is that of the whole text.
+   What lies left and right of a reported span is aligned again, so each of several copies in a row gives a row.
 
 No step groups documents, so a passage that a third of them share costs no task more than its rows. Items are taken to the
 workers in blocks of at most BLOCK_ITEMS, so the broadcast index has a bound at any number of items.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, gram_codes, known_words, member, packed, small_batches, written
 
-GRAM, WINDOW, MIN_SCORE = 4, 4, 0.5
+GRAM, MIN_SCORE = 4, 0.5
 #: Test items whose index is broadcast at once; more items take more passes.
 BLOCK_ITEMS = 20_000
 #: Characters of an item that one block may hold.
@@ -39,7 +40,7 @@ BLOCK_CHARS = 64_000_000
 class Items:
     """Grams of a block of test items."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: list[tuple[int, str]], min_score: float = MIN_SCORE):
         words = [(i, WORD.findall(t.lower())) for i, t in rows]
         words = [(i, w) for i, w in words if len(w) >= GRAM]
         self.vocab: dict[str, int] = {}
@@ -54,8 +55,12 @@ class Items:
             for q, c in enumerate(codes.tolist()):
                 self.where.setdefault(c, []).append((t, q))
         self.keys = np.array(sorted(self.where), dtype=np.int64)
+        self.counts = [np.unique(ids, return_counts=True) for ids in self.ids]
+        self.least = [min_score * 2 * len(ids) for ids in self.ids]
+        # gaps that an alignment of an item can have and still reach the least score
+        self.room = [max(0, int(2 * len(ids) - least)) for ids, least in zip(self.ids, self.least, strict=True)]
         # how far left and right of a gram the items that hold it can reach
-        self.reach = {c: (max(q for _, q in at), max(len(self.ids[t]) - q for t, q in at)) for c, at in self.where.items()}
+        self.reach = {c: (max(q + self.room[t] for t, q in at), max(len(self.ids[t]) - q + self.room[t] for t, q in at)) for c, at in self.where.items()}
 
     def passages(self, text: str) -> list[tuple[list[int], list[int], list[int], list[int], list[int]]]:
         """(word ids, starts, ends, grams found, their places) of each passage of a text."""
@@ -65,7 +70,7 @@ class Items:
         out, spans = [], []
         for p in member(codes, self.keys).tolist():
             left, right = self.reach[int(codes[p])]
-            a, b = max(0, p - left - left // 4 - GRAM), min(len(ids), p + right + right // 4 + GRAM)
+            a, b = max(0, p - left), min(len(ids), p + right)
             if spans and a <= spans[-1][1]:
                 spans[-1][0], spans[-1][1] = min(a, spans[-1][0]), max(b, spans[-1][1])
                 spans[-1][2].append(p)
@@ -75,15 +80,24 @@ class Items:
             out.append((ids[a:b], [s for _, s, _ in at[a:b]], [e for _, _, e in at[a:b]], [int(codes[p]) for p in hits], [p - a for p in hits]))
         return out
 
-    def seeds(self, n: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
-        """The rarest gram of every window of every item, with the items that it stands for and its places in them."""
-        chosen: dict[int, set[tuple[int, int]]] = {}
-        for t, codes in enumerate(self.codes):
-            c = codes.tolist()
-            for i in range(max(1, len(c) - WINDOW + 1)):
-                q = min(range(i, min(i + WINDOW, len(c))), key=lambda q: (n.get(c[q], 0), c[q]))
-                chosen.setdefault(c[q], set()).add((t, q))
-        return {c: sorted(ts) for c, ts in chosen.items()}
+    def may_reach(self, t: int, b: np.ndarray) -> bool:
+        """Whether the words that item t and b have in common could reach the item's least score."""
+        words, n = self.counts[t]
+        found, times = np.unique(b, return_counts=True)
+        at = np.minimum(np.searchsorted(found, words), len(found) - 1)
+        return 2 * int(np.minimum(n, times[at])[found[at] == words].sum()) >= self.least[t]
+
+    def aligned(self, t: int, b: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """align() of item t with b, then with what lies left and right of each span, while the score reaches the least."""
+        out, todo = [], [(0, len(b))]
+        while todo:
+            lo, hi = todo.pop()
+            if hi > lo and self.may_reach(t, b[lo:hi]):
+                top, matched, x, y = align(self.ids[t], b[lo:hi])
+                if matched and top >= self.least[t]:
+                    out.append((top, matched, lo + x, lo + y))
+                    todo += [(lo, lo + x), (lo + y, hi)]
+        return sorted(out, key=lambda r: r[2])
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int]:
@@ -109,18 +123,6 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int]:
     return top, matched, j, end
 
 
-def aligned(a: np.ndarray, b: np.ndarray, least: float) -> list[tuple[int, int, int, int]]:
-    """align() of a with b, then with what lies left and right of each span, while the score reaches `least`."""
-    out, todo = [], [(0, len(b))]
-    while todo:
-        lo, hi = todo.pop()
-        top, matched, x, y = align(a, b[lo:hi])
-        if matched and top >= least:
-            out.append((top, matched, lo + x, lo + y))
-            todo += [(lo, lo + x), (lo + y, hi)]
-    return sorted(out, key=lambda r: r[2])
-
-
 def find(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE, block: int = BLOCK_ITEMS) -> DataFrame:
     """docs(doc_id, text), items(item_id, text) to (doc_id, item_id, score, matched, start, end)."""
     return _find(docs.select("doc_id", "text"), items, min_score, block).drop("_row")
@@ -140,7 +142,7 @@ def _block(docs: DataFrame, tests: DataFrame, min_score: float) -> DataFrame:
     small_batches(spark)
     if "_row" not in docs.columns:
         docs = docs.withColumn("_row", F.lit(None).cast("string"))
-    held = spark.sparkContext.broadcast(Items([tuple(r) for r in tests.collect()]))  # a block of items
+    held = spark.sparkContext.broadcast(Items([tuple(r) for r in tests.collect()], min_score))  # a block of items
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         items = held.value
@@ -155,29 +157,27 @@ def _block(docs: DataFrame, tests: DataFrame, min_score: float) -> DataFrame:
 
     passages = written(docs.select("doc_id", "_row", "text").mapInPandas(
         cut, "doc_id long, _row string, ids array<long>, starts array<int>, ends array<int>, grams array<long>, places array<int>"))
-    counted = passages.select(F.explode(F.array_distinct("grams")).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    seeds = spark.sparkContext.broadcast(held.value.seeds({r["gram"]: r["n"] for r in counted.collect()}))  # at most the grams of the block
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items, index = held.value, seeds.value
+        items = held.value
         memo: dict[tuple[int, bytes], list[tuple[int, int, int, int]]] = {}
         for pdf in batches:
             rows = []
             for r, (ids, starts, ends, grams, places) in enumerate(zip(pdf["ids"], pdf["starts"], pdf["ends"], pdf["grams"], pdf["places"], strict=True)):
                 ids, best = np.asarray(ids, np.int64), {}
                 for g, p in zip(grams, places, strict=True):
-                    for t, q in index.get(g, ()):
+                    for t, q in items.where[g]:
                         best.setdefault(t, []).append(p - q)
                 for t, diagonals in best.items():
                     item = items.ids[t]
-                    room = len(item) // 4 + GRAM
+                    room = items.room[t]
                     for lo, hi in stretches(sorted(diagonals), len(item) + 2 * room):
                         a, b = max(0, lo - room), min(len(ids), hi + len(item) + room)
                         key = (t, ids[a:b].tobytes())
                         if key not in memo:
                             if len(memo) > 20_000:
                                 memo.clear()
-                            memo[key] = aligned(item, ids[a:b], min_score * 2 * len(item))
+                            memo[key] = items.aligned(t, ids[a:b])
                         for top, matched, x, y in memo[key]:
                             rows.append((r, items.names[t], top / (2 * len(item)), matched, int(starts[a + x]), int(ends[a + y - 1])))
             out = pd.DataFrame(rows, columns=["r", "item_id", "score", "matched", "start", "end"]).drop_duplicates()
