@@ -109,6 +109,11 @@ def cofeature_forms(spark, d):
     return Q.cofeature_counts(_stems(_tokens(spark, d, "benchmark", "item_id")))
 
 
+@query(f"WITH {TOK}, c AS (SELECT form, count(*) AS k, {PREFIX} AS f FROM tok GROUP BY form) SELECT a.form, CAST(sum(b.k) AS BIGINT) AS n FROM c a JOIN c b USING (f) GROUP BY a.form")
+def cofeature_forms_documents(spark, d):
+    return Q.cofeature_counts(_stems(_tokens(spark, d, "documents", "doc_id")))
+
+
 @query(f"WITH {TOK}, c AS (SELECT {PREFIX} AS f, count(*) AS k FROM tok GROUP BY 1), q AS (SELECT f, k / CAST(sum(k) OVER () AS DOUBLE) AS freq FROM c) SELECT form, round(1.0 / avg(freq), 6) AS inv FROM (SELECT DISTINCT form, {PREFIX} AS f FROM tok) JOIN q USING (f) GROUP BY form")
 def inverse_average_frequency(spark, d):
     t = _stems(_tokens(spark, d, "documents", "doc_id"))
@@ -226,9 +231,12 @@ def bigrams_first_wins(spark, d):
 
 @query()
 def multitext_lookup(spark, d):
-    """Feature pairs of the form matches, looked up among the benchmark's bigrams."""
+    """Feature pairs of the form matches, looked up among the documents' bigrams; only words of the matches are paired."""
     found = match_form_frequency(spark, d).select(F.concat_ws("|", "t_unit", "s_unit").alias("match_id"), F.split("features", " ").alias("features"))
-    out = U.multitext(found, bigrams_first_wins(spark, d))
+    t = _tokens(spark, d, "documents", "doc_id")
+    f = t.withColumn("feature", F.col("form")).join(Q.inverse_frequencies(t), "form").withColumn("text_id", F.col("doc_id").cast("string"))
+    f = f.join(found.select(F.explode("features").alias("feature")).distinct(), "feature", "left_semi")
+    out = U.multitext(found, U.bigrams(f).withColumn("score", F.round("score", 6)))
     return out.select("match_id", "w1", "w2", F.size("units").cast("long").alias("n"), F.transform("units", lambda x: x["unit"]).alias("units"))
 
 
