@@ -1,0 +1,76 @@
+"""Ids above 2^53 beside null ids, clashing columns, repeated and empty rows: through all operators, and the stages in a chain."""
+
+import inspect
+
+import pytest
+
+from weftlens.llm import common, queries
+from weftlens.llm import secrets as S
+
+IDS = [9007199254740993, None, 9007199254740995, 9007199254740993]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """Four documents of which one is a copy, one has no id, and one is toxic and labelled."""
+    d = tmp_path_factory.mktemp("ids")
+    base = [" ".join(f"{p}{i * 7 % 97}word" for i in range(80)) for p in "abc"]
+    texts = [base[0], base[1], base[2] + " Released under the MIT License. secret: abcdefgh1234", base[0]]
+    rows = [(i, t, "en", "s", len(t)) for i, t in zip(IDS, texts, strict=True)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(2**53 + 7, " ".join(base[1].split()[10:50])), (None, None)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([(IDS[0], 1, 0), (IDS[2], 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    return str(d)
+
+
+@pytest.mark.parametrize("name", list(queries.queries()))
+def test_ids_come_back_as_they_are(spark, folder, name):
+    got = [r.doc_id for r in queries.queries()[name](spark, folder).collect()]
+    rows = {"op4_licenses": [IDS[2]], "op8_decontamination": [None]}
+    assert sorted(got, key=str) == sorted(rows.get(name, IDS), key=str)
+
+
+def test_the_stages_in_a_chain_keep_every_unique_row(spark, folder):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    want = [4, 3, 2, 2]  # the copy goes, then the text that holds a benchmark item
+    for (_, stage), n in zip(pipeline.STAGES[:-1], want, strict=True):
+        docs = common.written(stage(spark, docs, folder))
+        assert docs.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ") and docs.count() == n
+    assert {r.doc_id for r in docs.collect()} == {IDS[0], IDS[2]}
+    assert any("secret" not in r.text and "[SECRET]" in r.text for r in docs.collect())
+    assert {r.doc_id for r in pipeline.run(spark, folder).collect()} == {IDS[0], IDS[2]}
+
+
+def test_stages_of_empty_tables(spark, folder):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, spark.createDataFrame([], SCHEMA), folder).collect() == []
+
+
+def test_stages_call_their_operators():
+    pipeline = pytest.importorskip("corpus_pipeline")
+    assert [n for n, _ in pipeline.STAGES] == ["quality", "near_dedup", "decontamination", "secrets", "packing"]
+    assert all(list(inspect.signature(f).parameters) == ["spark", "docs", "sf_dir"] for _, f in pipeline.STAGES)
+
+
+def test_hub_join_deals_a_hot_key_out(spark):
+    left = spark.range(5000).selectExpr("id", "if(id % 3 = 0, 7, id) as k")
+    right = spark.range(5000).selectExpr("id as k", "id * 2 as v")
+    for how in ("inner", "left"):
+        got = sorted(map(tuple, common.hub_join(left, right, "k", how, least=50).select("id", "k", "v").collect()))
+        assert got == sorted(map(tuple, left.join(right, "k", how).select("id", "k", "v").collect()))
+
+
+def test_texts_are_held_in_bounded_parts(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(common, "PART_CHARS", 10)
+    batch = pa.RecordBatch.from_pydict({"text": ["a" * 4, None, "b" * 6, "c" * 30, "", "d"]})
+    assert [p.column("text").to_pylist() for p in common.parts_of(batch)] == [["aaaa", None, "bbbbbb"], ["c" * 30], ["", "d"]]
+
+
+def test_redaction_keeps_large_ids(spark):
+    docs = spark.createDataFrame([(i, "token=abcdefgh") for i in IDS], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.text) for r in S.redact(docs).collect()) == sorted((str(i), "[SECRET]") for i in IDS)

@@ -3,6 +3,7 @@
 import math
 import random
 import zlib
+from collections import Counter
 
 import pandas as pd
 import pyarrow.parquet as pq
@@ -73,6 +74,12 @@ def test_labels_of_held_out_rows_are_never_learnt(spark):
     assert L.fit(docs, ~L.held_out(docs["doc_id"])).langs == ["right"]
 
 
+def test_the_sample_is_bounded_and_reaches_each_language(spark):
+    rows = [(1, f"abc {i}", "a") for i in range(3000)] + [(None, f"xyz {i % 3}", "b") for i in range(3000)] + [(5, "long " * 900_000, "c"), (6, "short", "c")]
+    got = L.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), L.F.lit(True), 100).collect()
+    assert Counter(r.lang for r in got) == {"a": 100, "b": 3, "c": 1}
+
+
 def test_unusual_rows(spark):
     docs = spark.createDataFrame([(1, "aaa bbb", "a"), (2, "ccc ddd", "c"), (3, None, "a"), (4, "", "c"), (5, "123 !?", None), (None, "aaa", None), (6, "ccc " * 100000, None), (6, "ccc", None), (6, "ccc", None)], "doc_id long, text string, lang string")
     t = L.fit(docs, L.F.lit(True))

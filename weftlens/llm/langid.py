@@ -10,7 +10,9 @@ With frozen statistics the code of a byte depends on four bytes only, so the tre
 looks up for whole batches.
 
 Defined results: null text, empty text and text without a letter give `und` with score 0; ties go to the language
-that sorts first; without any labelled row every text is `und`. Texts are read whole.
+that sorts first; without any labelled row every text is `und`. A null doc_id is not held out and comes back null. Repeated
+rows count once in the sample and each get the same prediction; an empty table gives no rows; columns of docs other than
+doc_id, text and lang are not read, whatever their names. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -22,12 +24,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_fraction, small_batches
+from .common import bounded_rows, per_text
 
 UND = "und"
 PAD = b"\n\n\n"
-#: Labelled rows of each language that the trees are fitted on, about: the documented bound of the training sample.
-ROWS_PER_LANGUAGE = 1200
+#: The documented bound of the training sample: labelled rows and characters of each language.
+ROWS_PER_LANGUAGE, CHARS_PER_LANGUAGE = 1200, 4_000_000
 #: Known byte pairs up to which four-byte windows are found in a square table (int32), else by binary search.
 SQUARE = 4000
 
@@ -55,13 +57,9 @@ def gram_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def training_sample(docs: DataFrame, allowed: Column, rows: int = ROWS_PER_LANGUAGE) -> DataFrame:
-    """About `rows` rows of each language, or all where there are fewer: a row stays if a hash of its id is low enough."""
-    able = docs.filter(allowed & F.col("lang").isNotNull())
-    per = able.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # one row a language
-    keep = F.lit(False)
-    for lang, n in per:
-        keep = keep | ((F.col("lang") == lang) & (hashed_fraction(F.col("doc_id"), 11) < min(1.0, rows / n)))
-    return able.filter(keep & F.col("text").isNotNull()).select("lang", "text")
+    """(lang, text): at most `rows` distinct texts of each language, or all where there are fewer."""
+    able = docs.filter(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    return bounded_rows(able.select("lang", F.md5("text").alias("key"), "text"), "lang", rows, CHARS_PER_LANGUAGE).select("lang", "text")
 
 
 class Trees:
@@ -168,7 +166,6 @@ class Trees:
 
 def fit(docs: DataFrame, allowed: Column, rows: int = ROWS_PER_LANGUAGE) -> Trees | None:
     """Trees from the allowed rows of docs(doc_id, text, lang); None if there are none."""
-    small_batches(docs.sparkSession)
     sample = training_sample(docs, allowed, rows)
     counts = sample.mapInPandas(gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     got = counts.toPandas()  # windows of a bounded sample
@@ -177,26 +174,26 @@ def fit(docs: DataFrame, allowed: Column, rows: int = ROWS_PER_LANGUAGE) -> Tree
 
 def identify(docs: DataFrame, trees: Trees | None) -> DataFrame:
     """docs(doc_id, text) to (doc_id, held_out, lang_pred, score); held_out: crc32 of the id's text mod 3 is 1."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    model = spark.sparkContext.broadcast(trees)
+    model = docs.sparkSession.sparkContext.broadcast(trees)
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select("doc_id", F.when(lettered, F.col("text")).alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         trees = model.value
-        for pdf in batches:
-            lang, score = np.full(len(pdf), UND, dtype=object), np.zeros(len(pdf))
-            ok = np.nonzero(pdf["text"].notna().to_numpy())[0]
-            if trees is not None and len(ok):
-                bits = trees.lengths(pdf["text"].iloc[ok].tolist())
+
+        def predict(texts: list[str | None]):
+            lang, score = np.full(len(texts), UND, dtype=object), np.zeros(len(texts))
+            ok = [i for i, t in enumerate(texts) if t is not None]
+            if trees is not None and ok:
+                bits = trees.lengths([texts[i] for i in ok])
                 best = bits.argmin(axis=1)
                 least = bits[np.arange(len(ok)), best]
                 lang[ok] = np.array(trees.langs, dtype=object)[best]
                 score[ok] = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": lang, "score": score})
+            return None, (lang, score)
+
+        return predict
 
-    out = rows.mapInPandas(run, "doc_id long, lang_pred string, score double")
+    out = per_text(docs.select("doc_id", F.when(lettered, F.col("text")).alias("text")), ["doc_id"], make, "lang_pred string, score double")
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 

@@ -10,24 +10,24 @@ The pieces are those of a public vocabulary; the score of the piece of rank r is
 character that no piece holds costs UNKNOWN and counts as its UTF-8 bytes (byte fallback). Ties prefer the longer last
 piece.
 
-Defined results: null, empty and white texts have 0 tokens. Texts are read whole.
+Defined results: null, empty and white texts have 0 tokens; repeated rows get a row each; a null doc_id comes back null; an
+empty table gives no rows; columns of docs other than doc_id and text are not read, whatever their names. Texts are read
+whole; a very long text is held alone.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import per_text
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN = -30.0
-#: Pre-tokens that a worker remembers before it starts anew.
-CACHE = 500_000
+#: Characters of pre-tokens that a worker remembers before it starts anew, and of the longest that it remembers.
+CACHE_CHARS, LONG = 8_000_000, 200
 
 
 def load_pieces(path: str) -> dict[str, float]:
@@ -48,6 +48,7 @@ class Counter:
         for p in pieces:  # the longest piece that ends in a character bounds the search there
             self.endings[p[-1]] = max(self.endings.get(p[-1], 0), len(p))
         self.known: dict[str, int] = {}
+        self.held = 0
 
     def learn(self, words: set[str]) -> None:
         score, ends = self.pieces.get, self.endings.get
@@ -74,24 +75,33 @@ class Counter:
     def counts(self, texts: list[str]) -> list[int]:
         split = [t.split() for t in texts]
         new = set().union(*split) - self.known.keys() if split else set()
-        if len(self.known) + len(new) > CACHE:
+        size = sum(map(len, new))
+        if self.held + size > CACHE_CHARS:
             self.known.clear()
+            self.held = 0
             new = set().union(*split)
         self.learn(new)
         get = self.known.__getitem__
-        return [sum(map(get, words)) for words in split]
+        out = [sum(map(get, words)) for words in split]
+        for w in new:
+            if len(w) > LONG:
+                del self.known[w]
+            else:
+                self.held += len(w)
+        return out
 
 
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """docs(doc_id, text) to (doc_id, n_words, n_tokens)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    held = spark.sparkContext.broadcast(load_pieces(vocabulary))
+    held = docs.sparkSession.sparkContext.broadcast(load_pieces(vocabulary))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         counter = Counter(held.value)
-        for pdf in batches:
-            texts = pdf["text"].fillna("").tolist()
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_words": [len(t.split()) for t in texts], "n_tokens": counter.counts(texts)})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_words long, n_tokens long")
+        def count(texts: list[str | None]):
+            texts = [t or "" for t in texts]
+            return None, ([len(t.split()) for t in texts], counter.counts(texts))
+
+        return count
+
+    return per_text(docs, ["doc_id"], make, "n_words long, n_tokens long")
