@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+import time
 
 from weftlens.llm import secrets as S
 
@@ -55,5 +56,18 @@ def test_redaction_and_unusual_rows(spark):
     assert S.scan(docs.limit(0)).collect() == [] and S.redact(docs.limit(0)).collect() == []
 
 
+def test_long_runs_take_linear_time():
+    tokens = S.encoding(S.load_ranks(S.VOCABULARY)).encode_ordinary
+    rng = random.Random(4)
+    say = lambda letters, n=1_000_000: "".join(rng.choices(letters, k=n))
+    for text in (say(string.ascii_letters + string.digits + "+/"), say(string.ascii_letters), "a.b-c" * 200_000, "x@" * 500_000, "token= " * 150_000, "password" * 120_000, (say(string.ascii_letters + "0189", 20) + " ") * 40_000):
+        began = time.process_time()
+        S._spans(text, tokens)
+        assert time.process_time() - began < 3
+    text = " ".join(say(string.ascii_letters + string.digits, 24) + " token=" + say("abc0", 20) for _ in range(200))
+    spans = S._spans(text, tokens)[1]
+    assert all(not (a < y and x < b) for a, b, k in spans if k == "token" for x, y, j in spans if j != "token") and sum(k == "token" for *_, k in spans) > 150
+
+
 def test_overlapping_spans_give_one_mark():
     assert S.redacted("ab token=0123456789abcdef01234567 z", S.base_spans("ab token=0123456789abcdef01234567 z"), "#") == "ab # z"

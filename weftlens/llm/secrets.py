@@ -6,7 +6,10 @@ kind `token`, unless it is a known digest (hex of 32, 40, 56, 64, 96 or 128 digi
 identifier without digits in one case, or part of a mail or web address. Spans of the base patterns always stay; an
 added span never overlaps one.
 
-Offsets are code points, ends exclusive. Defined results: null text counts as empty and has no span. Whole texts.
+Offsets are code points, ends exclusive. Defined results: null and empty texts have no span; spans that start together are
+listed by kind; repeated rows get a row each; a null doc_id comes back null; an empty table gives no rows; columns of docs
+other than doc_id and text are not read by scan and stay as they are in redact, whatever their names. Texts are read whole,
+in time linear in their length.
 """
 
 from __future__ import annotations
@@ -14,13 +17,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import per_text
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Characters per token; prose has 3 to 5, random base64 about 1.4.
@@ -33,7 +33,10 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})\Z")
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
-ADDRESS = re.compile(r"(?:https?://|www\.)\S+|[\w.+-]+@[\w-]+(?:\.[\w-]+)+")
+#: Tried only where a run of address characters begins, and never twice over it: linear in the text.
+ADDRESS = re.compile(r"(?:https?://|www\.)\S+|(?<![\w.+-])[\w.+-]++@[\w-]++(?:\.[\w-]++)++")
+#: A run is tokenized in pieces of so many characters, as the tokenizer takes more than linear time for one long word.
+PIECE = 2048
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 Span = tuple[int, int, str]
@@ -73,18 +76,38 @@ def plain(run: str) -> bool:
     return not re.search("[A-Za-z]", core) or len(core) < 16 or bool(DIGEST.match(core) or UUID.match(core))
 
 
+class Cover:
+    """Whether one of ascending spans overlaps [a, b), for queries with ascending a: a single sweep."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.spans: list[list[int]] = []
+        for a, b in spans:
+            if self.spans and a <= self.spans[-1][1]:
+                self.spans[-1][1] = max(b, self.spans[-1][1])
+            else:
+                self.spans.append([a, b])
+        self.at = 0
+
+    def meets(self, a: int, b: int) -> bool:
+        while self.at < len(self.spans) and self.spans[self.at][1] <= a:
+            self.at += 1
+        return self.at < len(self.spans) and self.spans[self.at][0] < b
+
+
+def token_count(run: str, tokens) -> int:
+    return sum(len(tokens(run[i:i + PIECE])) for i in range(0, len(run), PIECE))
+
+
 def added_spans(text: str, base: list[Span], tokens) -> list[Span]:
     """Spans of kind token: runs that the vocabulary spells with many tokens."""
-    out, addresses = [], None
+    out, covered, addresses = [], Cover([(a, b) for a, b, _ in base]), None
     for m in RUN.finditer(text):
         a, b = m.span()
-        if plain(m[0]) or any(x < b and a < y for x, y, _ in base):
-            continue
-        if (b - a) / len(tokens(m[0])) >= MAX_RATIO:
+        if plain(m[0]) or covered.meets(a, b) or (b - a) / token_count(m[0], tokens) >= MAX_RATIO:
             continue
         if addresses is None:
-            addresses = [x.span() for x in ADDRESS.finditer(text)]
-        if not any(x < b and a < y for x, y in addresses):
+            addresses = Cover([x.span() for x in ADDRESS.finditer(text)])
+        if not addresses.meets(a, b):
             out.append((a, b, "token"))
     return out
 
@@ -101,22 +124,24 @@ def _spans(text: str | None, tokens) -> tuple[list[Span], list[Span]]:
 
 def scan(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """docs(doc_id, text) to (doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_token)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    ranks = spark.sparkContext.broadcast(load_ranks(vocabulary))
+    ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(vocabulary))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         tokens = encoding(ranks.value).encode_ordinary
-        for pdf in batches:
-            rows = []
-            for i, t in zip(pdf["doc_id"], pdf["text"], strict=True):
+
+        def find(texts: list[str | None]):
+            out = tuple([] for _ in range(6))
+            for t in texts:
                 base, all_ = _spans(t, tokens)
                 kinds = [k for _, _, k in all_]
-                rows.append((i, kinds.count("assign"), kinds.count("access"), kinds.count("hex"), hashlib.sha256(joined(base).encode()).hexdigest(), joined(all_), kinds.count("token")))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_token"])
-            yield out.assign(doc_id=pdf["doc_id"].to_numpy())
+                row = (*(kinds.count(k) for k in KINDS[:3]), hashlib.sha256(joined(base).encode()).hexdigest(), joined(all_), kinds.count("token"))
+                for column, v in zip(out, row, strict=True):
+                    column.append(v)
+            return None, out
+
+        return find
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_token long")
+    return per_text(docs, ["doc_id"], make, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_token long")
 
 
 def redacted(text: str, spans: list[Span], mark: str) -> str:
@@ -130,14 +155,11 @@ def redacted(text: str, spans: list[Span], mark: str) -> str:
 
 def redact(docs: DataFrame, vocabulary: str = VOCABULARY, mark: str = "[SECRET]") -> DataFrame:
     """docs with every found span of text replaced by mark; overlapping spans give one mark; null stays null."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    ranks = spark.sparkContext.broadcast(load_ranks(vocabulary))
+    ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(vocabulary))
+    others = [c for c in docs.columns if c != "text"]
 
-    @F.pandas_udf("string")
-    def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def make():
         tokens = encoding(ranks.value).encode_ordinary
-        for texts in parts:
-            yield pd.Series([None if t is None else redacted(t, s, mark) if (s := _spans(t, tokens)[1]) else t for t in texts], dtype=object)
+        return lambda texts: (None, ([None if t is None else redacted(t, s, mark) if (s := _spans(t, tokens)[1]) else t for t in texts],))
 
-    return docs.withColumn("text", clean(F.col("text")))
+    return per_text(docs, others, make, "text string").select(*docs.columns)
