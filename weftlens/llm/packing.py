@@ -6,8 +6,10 @@ least) are formed, so a padded batch holds at most `budget` tokens unless a sing
 
 The histogram has one row a distinct length; its size follows the longest text, not the table.
 
-Lengths are words `[^\\x20\\x09-\\x0D]+`. Defined results: null and empty texts have length 0; ties between bounds take
-the fewest buckets and then the lowest bounds; repeated rows get slots of their own; an empty table gives no rows.
+The tokens here are words `[^\\x20\\x09-\\x0D]+`; `length` names a column of docs with other counts, such as those of
+tokencount. Defined results: null and empty texts, and null or negative lengths, have length 0; ties between bounds take the
+fewest buckets and then the lowest bounds; repeated rows get slots of their own; a null doc_id comes back null; an empty table
+gives no rows; other columns of docs are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -61,18 +63,20 @@ def bounds(lengths: list[int], counts: list[int], buckets: int = BUCKETS) -> lis
     return out[::-1]
 
 
-def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
-    """docs(doc_id, text) to (doc_id, n_tokens, bucket, bucket_len, batch, slot, padding).
+def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, length: str | None = None) -> DataFrame:
+    """docs(doc_id, text) to (doc_id, n_words, bucket, bucket_len, batch, slot, padding); n_words is called `length` if given.
 
     batch numbers the batches of a bucket, slot the texts of a batch, both from 0."""
-    rows = written(docs.select("doc_id", n_words(F.col("text")).alias("n_tokens")))
-    histogram = sorted(map(tuple, rows.groupBy("n_tokens").agg(F.count(F.lit(1))).collect()))
+    name = length or "n_words"
+    size = n_words(F.col("text")) if length is None else F.greatest(F.coalesce(F.col(length), F.lit(0)), F.lit(0)).cast("long")
+    rows = written(docs.select("doc_id", size.alias(name)))
+    histogram = sorted(map(tuple, rows.groupBy(name).agg(F.count(F.lit(1))).collect()))  # one row a distinct length
     tops = bounds([x for x, _ in histogram], [k for _, k in histogram], buckets) or [0]
     bucket = F.lit(0)
     for top in tops[:-1]:
-        bucket = bucket + (F.col("n_tokens") > top).cast("int")
+        bucket = bucket + (F.col(name) > top).cast("int")
     slotted = with_slots(rows.withColumn("bucket", bucket), "bucket", "place")
     top = F.element_at(F.array(*[F.lit(x).cast("long") for x in tops]), F.col("bucket") + 1)
     room = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.greatest(top, F.lit(1).cast("long"))))
-    return slotted.select("doc_id", "n_tokens", "bucket", top.alias("bucket_len"),
-                          F.floor(F.col("place") / room).alias("batch"), (F.col("place") % room).alias("slot"), (top - F.col("n_tokens")).alias("padding"))
+    return slotted.select("doc_id", name, "bucket", top.alias("bucket_len"),
+                          F.floor(F.col("place") / room).alias("batch"), (F.col("place") % room).alias("slot"), (top - F.col(name)).alias("padding"))
