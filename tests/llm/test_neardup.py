@@ -121,6 +121,29 @@ def test_empty_tables_and_extra_columns(spark):
     assert sorted((r.doc_id, r.wkey) for r in out.collect() if r.wkey) == [(1, "a"), (4, "c"), (4, "c")]
 
 
+def test_what_is_a_word_is_decided_once(spark):
+    """Marks, joiners, superscripts and fractions: Java's and Python's word characters differ on them."""
+    odd = ["\U0001F469\u200D\U0001F467 \U0001F468\u200D\U0001F466", "\u0301 \u0302", "\u00b2 \u00bd", "\u203f", "\u0661 \u0e33", "\U0001F600"]
+    rows = [(i, t) for i, t in enumerate(odd)] + [(10, odd[0]), (11, odd[2])]
+    kept = sorted(r.doc_id for r in N.deduplicated(spark.createDataFrame(rows, SCHEMA)).collect())
+    words = {i: bool(N.WORD.search(t)) for i, t in rows}
+    assert kept == [i for i, _ in rows if not (i == 10 and words[10]) and not (i == 11 and words[11])]
+
+
+def test_recall_of_pairs_at_each_similarity():
+    """Pairs of 300-word texts that share a band, against (1 - s^6)^28."""
+    rng = random.Random(6)
+    for edits, least in ((3, 1.0), (6, 0.98)):  # similarities of about 0.9 and 0.82
+        hit = n = 0
+        for _ in range(60):
+            base = [f"q{rng.randrange(10**6)}" for _ in range(300)]
+            a, b = " ".join(base), edited(base, edits, rng)
+            if N.similarity(N.bag(a), N.bag(b)) >= N.SIMILARITY:
+                _, _, bands = N.sketch([a, b])
+                n, hit = n + 1, hit + bool((bands[0] == bands[1]).any())
+        assert n > 20 and hit / n >= least
+
+
 def test_one_of_each_group_stays(spark, rows):
     docs = spark.createDataFrame(rows, SCHEMA)
     assert sorted(r.doc_id for r in N.deduplicated(docs).collect()) == sorted(set(brute(rows).values()))
