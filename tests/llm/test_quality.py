@@ -71,6 +71,15 @@ def test_empty_table(spark):
     assert Q.assess(empty).collect() == [] and Q.passing(empty).collect() == []
 
 
+def test_thresholds_follow_their_group_and_tell_bad_from_good(spark):
+    d = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    limits = Q.thresholds(Q.measured(docs.select("doc_id", "text", "lang", "source")).drop("text")).toPandas()
+    assert sum(limits[f"hi_{k}"].nunique() > 5 for k in Q.RATES) == 4
+    got = Q.assess(docs).filter("not base_failed").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").toPandas()
+    assert (~got["kept"])[got["quality"] == 0].mean() > 0.98 and (~got["kept"])[got["quality"] == 1].mean() < 0.03
+
+
 def test_plan_is_native(spark, rows):
     plan = Q.assess(spark.createDataFrame(rows, SCHEMA))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

@@ -6,13 +6,17 @@ against thresholds of their language and source:
 
   symbols per 1000 words, repeated lines per 1000 lines, repeated words per 1000 words, and 100 x mean word length.
 
+The first three have one added to both counts, (n + 1) / (all + 1): a short text without a symbol isn't cleaner than a long
+one can be, so the rate has a spread in groups where most texts have none, and the thresholds follow it.
+
 The thresholds come from quantile sketches: log-linear histograms (exact below 128, else seven significant bits, thus
-within 1.6 %), which are merged by adding counts. Upper threshold: q75 + 3 * (q75 - q25) + slack; the word length has a
-lower one too. A group with fewer than MIN_ROWS texts uses the merged sketches of its language, and a language with fewer
-those of the whole table.
+within 1.6 %), which are merged by adding counts. Upper threshold: q75 + REACH * (q75 - q25); the word length has a lower one
+too. No constant is added, and up to a quarter of a group may be bad without moving them. A group with fewer than MIN_ROWS
+texts uses the merged sketches of its language, and a language with fewer those of the whole table.
 
 Defined results: null text has no words and fails; null languages and sources are groups of their own; repeated rows are
-judged alike; an empty table gives no rows. Texts are read whole.
+judged alike; a rate equal to a threshold is kept; an empty table gives no rows; other columns of docs are not read by assess
+and stay as they are in passing, whatever their names. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -23,8 +27,8 @@ from pyspark.sql.window import Window
 
 from .common import packed, written
 
-MIN_WORDS, MIN_ROWS, REACH = 50, 100, 3
-SLACK = {"symbols": 150, "lines": 500, "repeats": 150, "length": 100}
+MIN_WORDS, MIN_ROWS, REACH = 50, 50, 10
+RATES = ("symbols", "lines", "repeats", "length")
 #: Groups of language and source whose thresholds may be broadcast.
 BROADCAST_GROUPS = 50_000
 BLANK = " \t\n\x0b\x0c\r"
@@ -60,8 +64,9 @@ def base_failed() -> Column:
 
 def rates() -> dict[str, Column]:
     """Integers, so that every engine has the same."""
-    per = lambda a, b, k: F.expr(f"({a} * {k}) div greatest({b}, 1)")
-    return {"symbols": per("n_symbols", "n_words", 1000), "lines": per("n_dup_lines", "_lines", 1000), "repeats": per("n_repeat_words", "n_words", 1000), "length": per("word_chars", "n_words", 100)}
+    share = lambda a, b: F.expr(f"(({a} + 1) * 1000) div ({b} + 1)")
+    return {"symbols": share("n_symbols", "n_words"), "lines": share("n_dup_lines", "_lines"), "repeats": share("n_repeat_words", "n_words"),
+            "length": F.expr("(word_chars * 100) div greatest(n_words, 1)")}
 
 
 def bin_of(v: Column) -> Column:
@@ -90,8 +95,8 @@ def limits(sketch: DataFrame, keys: list[str], tag: str) -> DataFrame:
     spread = REACH * (F.col("q75") - F.col("q25"))
     pick = lambda rate, v: F.max(F.when(F.col("rate") == rate, v))
     return q.groupBy(*keys).agg(
-        F.max("all").alias(f"{tag}_n"), *[pick(k, F.col("q75") + spread + s).alias(f"{tag}_hi_{k}") for k, s in SLACK.items()],
-        pick("length", F.col("q25") - spread - SLACK["length"]).alias(f"{tag}_lo_length"))
+        F.max("all").alias(f"{tag}_n"), *[pick(k, F.col("q75") + spread).alias(f"{tag}_hi_{k}") for k in RATES],
+        pick("length", F.col("q25") - spread).alias(f"{tag}_lo_length"))
 
 
 def thresholds(measures: DataFrame) -> DataFrame:
@@ -101,7 +106,7 @@ def thresholds(measures: DataFrame) -> DataFrame:
     own = limits(fine, ["lang", "source"], "a")
     lang = limits(merged(fine, "lang"), ["lang"], "b").withColumnRenamed("lang", "_lang")
     out = own.join(lang, F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    names = [*(f"hi_{k}" for k in SLACK), "lo_length"]
+    names = [*(f"hi_{k}" for k in RATES), "lo_length"]
     pick = lambda n: F.when(F.col("a_n") >= MIN_ROWS, F.col(f"a_{n}")).when(F.col("b_n") >= MIN_ROWS, F.col(f"b_{n}")).otherwise(F.lit(every[f"c_{n}"] if every else None).cast("long"))
     return written(out.select("lang", "source", *[pick(n).alias(n) for n in names]))
 
@@ -142,18 +147,18 @@ def passing(docs: DataFrame) -> DataFrame:
 
 def oracle_sql() -> str:
     """DuckDB SQL for assess() of the table documents."""
-    rates = {"symbols": "n_symbols * 1000 // greatest(n_words, 1)", "lines": "n_dup_lines * 1000 // greatest(n_lines, 1)",
-             "repeats": "n_repeat_words * 1000 // greatest(n_words, 1)", "length": "word_chars * 100 // greatest(n_words, 1)"}
+    rates = {"symbols": "(n_symbols + 1) * 1000 // (n_words + 1)", "lines": "(n_dup_lines + 1) * 1000 // (n_lines + 1)",
+             "repeats": "(n_repeat_words + 1) * 1000 // (n_words + 1)", "length": "word_chars * 100 // greatest(n_words, 1)"}
     each = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS rate, r_{k} AS v FROM judged WHERE NOT base_failed" for k in rates)
 
     def limits(name: str, keys: str) -> str:
-        picks = ", ".join(f"max(CASE WHEN rate = '{k}' THEN q75 + {REACH} * (q75 - q25) + {s} END) AS hi_{k}" for k, s in SLACK.items())
-        return f"""{name} AS (SELECT {keys}max(n) AS n, {picks}, max(CASE WHEN rate = 'length' THEN q25 - {REACH} * (q75 - q25) - {SLACK["length"]} END) AS lo_length FROM (
+        picks = ", ".join(f"max(CASE WHEN rate = '{k}' THEN q75 + {REACH} * (q75 - q25) END) AS hi_{k}" for k in RATES)
+        return f"""{name} AS (SELECT {keys}max(n) AS n, {picks}, max(CASE WHEN rate = 'length' THEN q25 - {REACH} * (q75 - q25) END) AS lo_length FROM (
   SELECT {keys}rate, max(total) AS n, min(CASE WHEN 100 * upto >= 25 * total THEN b END) AS q25, min(CASE WHEN 100 * upto >= 75 * total THEN b END) AS q75 FROM (
     SELECT {keys}rate, b, sum(k) OVER (PARTITION BY {keys}rate ORDER BY b) AS upto, sum(k) OVER (PARTITION BY {keys}rate) AS total
     FROM (SELECT {keys}rate, b, count(*) AS k FROM bins GROUP BY {keys}rate, b)) GROUP BY {keys}rate) GROUP BY {keys or "()"})""".replace(", )", ")")
 
-    names = [*(f"hi_{k}" for k in SLACK), "lo_length"]
+    names = [*(f"hi_{k}" for k in RATES), "lo_length"]
     pick = ", ".join(f"CASE WHEN a.n >= {MIN_ROWS} THEN a.{n} WHEN b.n >= {MIN_ROWS} THEN b.{n} ELSE c.{n} END AS {n}" for n in names)
     within = " AND ".join(f"r_{k} <= hi_{k}" for k in rates)
     fine, lang, all_ = (limits(*x) for x in (("fine", "lang, source, "), ("by_lang", "lang, "), ("every", "")))
