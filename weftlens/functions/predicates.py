@@ -47,6 +47,11 @@ def build_filter(literal_not: bool = False, **wanted: Any) -> Column:
     return reduce(Column.__and__, parts, F.lit(True))
 
 
+def any_of(*alternatives: dict[str, Any]) -> Column:
+    """OR of filters given as keyword arguments; no alternative matches nothing."""
+    return reduce(Column.__or__, [build_filter(**a) for a in alternatives], F.lit(False))
+
+
 def set_equal(array: Column, values: list) -> Column:
     """The array holds exactly these values, each once, in any order."""
     wanted = F.array(*[F.lit(v) for v in values])

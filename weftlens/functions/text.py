@@ -41,24 +41,6 @@ def words(text: Column, pattern: str = r"\p{L}+") -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))
 
 
-def latin_form(word: Column) -> Column:
-    """j and v written as i and u."""
-    return F.translate(F.lower(word), "jv", "iu")
-
-
-def english_form(word: Column) -> Column:
-    """Letters only: apostrophes and hyphens inside a word go."""
-    return F.regexp_replace(F.lower(word), "[^a-z]", "")
-
-
-def greek_form(word: Column) -> Column:
-    """Grave as acute on decomposed text, elision marks and digits dropped, final sigma by lower()."""
-    return F.regexp_replace(F.regexp_replace(F.lower(word), "̀", "́"), "['’\\d]", "")
-
-
-FORMS = {"latin": latin_form, "english": english_form, "greek": greek_form}
-
-
 def trigrams(word: Column) -> Column:
     """Overlapping three-character pieces of the word characters; none below three."""
     w = F.regexp_replace(word, r"(?U)\W", "")
@@ -66,10 +48,15 @@ def trigrams(word: Column) -> Column:
     return F.transform(spots, lambda i: F.substring(w, i, F.lit(3)))
 
 
-def natural_key(text: Column, width: int = 12) -> Column:
-    """A sort key under which runs of digits compare as numbers."""
+def natural_key(text: Column) -> Column:
+    """A sort key under which runs of digits compare as numbers: a run is led by its length without leading zeros."""
     runs = F.regexp_extract_all(text, F.lit(r"\d+|\D+"), F.lit(0))
-    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike("^\\d+$"), F.lpad(r, width, "0")).otherwise(r)), "")
+
+    def key(run: Column) -> Column:
+        digits = F.regexp_replace(run, r"^0+(?=\d)", "")
+        return F.when(run.rlike(r"^\d"), F.concat(F.lpad(F.length(digits).cast("string"), 9, "0"), digits)).otherwise(run)
+
+    return F.array_join(F.transform(runs, key), "")
 
 
 def display_tag(author: Column, title: Column, tags: Column) -> Column:
@@ -90,6 +77,11 @@ def highlight(snippet: Column, positions: Column, before: str = "**", after: str
     return state["out"]
 
 
+def file_title(title: Column) -> Column:
+    """A title in a file's name: lower case, spaces as underscores."""
+    return F.regexp_replace(F.lower(title), " ", "_")
+
+
 def pairs_of(items: Column) -> Column:
     """All two-element combinations of an array, in its order."""
     n = F.size(items)

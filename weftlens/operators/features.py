@@ -46,5 +46,6 @@ def featurize(tokens: DataFrame, feature: str, *tables: DataFrame) -> DataFrame:
 
 
 def exploded(tokens: DataFrame) -> DataFrame:
-    """One row a token and feature; tokens without a form or feature drop out."""
-    return tokens.filter(F.col("form").isNotNull()).withColumn("feature", F.explode("features")).drop("features")
+    """One row a token and feature, `at` its place among the token's; tokens without a form or feature drop out."""
+    rest = [c for c in tokens.columns if c != "features"]
+    return tokens.filter(F.col("form").isNotNull()).select(*rest, F.posexplode("features").alias("at", "feature"))

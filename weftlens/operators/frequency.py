@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def feature_counts(features: DataFrame, *keys: str) -> DataFrame:
@@ -13,13 +14,23 @@ def feature_counts(features: DataFrame, *keys: str) -> DataFrame:
     return features.groupBy(*keys, "feature").agg(F.count(F.lit(1)).alias("n"))
 
 
-def vocabulary(features: DataFrame, order: str) -> DataFrame:
-    """(feature, index, n): features numbered from 0 by first occurrence under `order`, ties by feature.
+def registered(occurrences: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """occurrences(language, feature, token, text_id, at) to new rows (language, feature, token, index) for the tokens that
+    `known`, of the same columns, lacks: indexes go on from the count of each language and feature, by first occurrence.
 
-    The numbers come from a global sort; operators here join on the feature itself and don't need them."""
-    first = features.groupBy("feature").agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("n"))
-    rows = first.orderBy("_first", "feature").rdd.zipWithIndex().map(lambda x: (x[0]["feature"], x[1], x[0]["n"]))
-    return features.sparkSession.createDataFrame(rows, "feature string, index long, n long")
+    The numbers are needed by readers of a dense index only; the operators here join on the token itself."""
+    new = occurrences.groupBy("language", "feature", "token").agg(F.min(F.struct("text_id", "at")).alias("_first"))
+    group = Window.partitionBy("language", "feature").orderBy("_first", "token")  # distinct tokens of a vocabulary
+    if known is None:
+        return new.withColumn("index", F.row_number().over(group).cast("long") - 1).drop("_first")
+    size = known.groupBy("language", "feature").agg(F.count(F.lit(1)).alias("_size"))
+    new = new.join(known.select("language", "feature", "token"), ["language", "feature", "token"], "left_anti").join(F.broadcast(size), ["language", "feature"], "left")
+    return new.withColumn("index", F.row_number().over(group) - 1 + F.coalesce("_size", F.lit(0))).drop("_first", "_size")
+
+
+def text_counts(occurrences: DataFrame) -> DataFrame:
+    """(language, feature, token, text_id, n): occurrences in each text."""
+    return occurrences.groupBy("language", "feature", "token", "text_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def corpus_frequencies(features: DataFrame) -> DataFrame:
@@ -29,6 +40,12 @@ def corpus_frequencies(features: DataFrame) -> DataFrame:
     return n.join(F.broadcast(total)).withColumn("freq", F.col("n") / F.col("_all")).drop("_all")
 
 
+def of_counts(counts: DataFrame, key: str = "form") -> DataFrame:
+    """counts(key, n) to (key, inv): sum of all counts / the key's own. A null key counts in the sum only."""
+    total = counts.agg(F.sum("n").alias("_all"))
+    return counts.filter(F.col(key).isNotNull()).join(F.broadcast(total)).select(key, (F.col("_all") / F.col("n")).alias("inv"))
+
+
 def inverse_frequencies(tokens: DataFrame) -> DataFrame:
     """(form, inv): tokens of the text / occurrences of the form."""
     n = tokens.groupBy("form").agg(F.count(F.lit(1)).alias("_n"))
@@ -39,7 +56,8 @@ def inverse_frequencies(tokens: DataFrame) -> DataFrame:
 def cofeature_counts(tokens: DataFrame) -> DataFrame:
     """tokens(form, features) to (form, n): tokens whose form shares a feature with it, itself included.
 
-    Works on distinct (form, feature) rows, so the self-join's size follows the vocabulary, not the text."""
+    Works on distinct (form, feature) rows, so the self-join's size follows the vocabulary, not the text: the sum over features
+    of the square of the forms that have it. A lemma has few forms; adaptive execution splits one that has many."""
     n = tokens.filter(F.col("form").isNotNull()).groupBy("form").agg(F.count(F.lit(1)).alias("_n"))
     each = tokens.filter(F.col("form").isNotNull()).select("form", F.explode("features").alias("feature")).distinct()
     siblings = each.join(each.withColumnRenamed("form", "form2"), "feature").select("form", "form2").distinct()

@@ -4,23 +4,24 @@ A target and a source position match if they share a feature outside the stoplis
 two different matching position pairs. On each side the matched positions must have two distinct forms; the distance is
 the sum of both sides', the score is ln(sum of inverse frequencies of the distinct positions) - ln(distance).
 
-The stoplist is removed before the join, which keeps the pairs of a feature, df_target * df_source, small."""
+The plan: the stoplist goes first; then the target keeps the tokens whose feature the source has (a semi-join, broadcast up to
+a checked size), so that the whole target is never shuffled on its most skewed column; inverse frequencies join what is left;
+the hits are dealt out once by pair of units; pairs with a single hit go before anything is collected. The hits of a feature
+are df_target * df_source, which the stoplist keeps small; adaptive execution splits a skewed feature."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import sized
+
 DISTANCES = ("frequency", "span")
+PAIR = ["t_unit", "s_unit"]
 
 
 def without_stopwords(features: DataFrame, stop: DataFrame | None) -> DataFrame:
-    return features if stop is None else features.join(F.broadcast(stop.select("feature").limit(10_000)) if _short(stop) else stop.select("feature"), "feature", "left_anti")
-
-
-def _short(stop: DataFrame) -> bool:
-    """Whether a stoplist surely fits a broadcast; it is a top-n or a user's list."""
-    return stop.limit(10_001).count() <= 10_000
+    return features if stop is None else features.join(sized(stop.select("feature")), "feature", "left_anti")
 
 
 def side(inv: str, pos: str, form: str) -> Column:
@@ -28,33 +29,59 @@ def side(inv: str, pos: str, form: str) -> Column:
     return F.array_sort(F.collect_set(F.struct((-F.coalesce(F.col(inv), F.lit(0.0))).alias("k"), F.col(pos).alias("pos"), F.col(form).alias("form"))))
 
 
+def trivial_distance(p: Column, q: Column) -> Column:
+    """0 for the same position, else one more than the gap: adjacent is 2."""
+    return F.when(p == q, 0).otherwise(F.abs(p - q) + 1)
+
+
 def side_distance(s: Column, metric: str) -> Column:
     """0 unless two distinct forms match. frequency: rarest to next rarest position; span: first to last. Adjacent is 2."""
     forms = F.size(F.array_distinct(F.transform(s, lambda x: x["form"])))
     places = F.transform(s, lambda x: x["pos"])
-    gap = F.array_max(places) - F.array_min(places) if metric == "span" else F.abs(F.get(s, F.lit(0))["pos"] - F.get(s, F.lit(1))["pos"])
-    return F.when(forms >= 2, gap + 1).otherwise(0)
+    gap = F.array_max(places) - F.array_min(places) + 1 if metric == "span" else trivial_distance(F.get(s, F.lit(0))["pos"], F.get(s, F.lit(1))["pos"])
+    return F.when(forms >= 2, gap).otherwise(0)
 
 
 def rarity(s: Column) -> Column:
     return F.aggregate(s, F.lit(0.0), lambda a, x: a - x["k"])
 
 
-def position_pairs(target: DataFrame, source: DataFrame) -> DataFrame:
-    """target, source (unit, pos, form, inv, feature) to position pairs with the shared feature."""
-    t = target.select("feature", *[F.col(c).alias(f"t_{c}") for c in ("unit", "pos", "form", "inv")])
-    s = source.select("feature", *[F.col(c).alias(f"s_{c}") for c in ("unit", "pos", "form", "inv")])
-    return t.join(s, "feature")
+def with_rarity(features: DataFrame, inv: DataFrame | None) -> DataFrame:
+    """features with the column inv, from a table (form, inv) if one is given; null for a form that it lacks."""
+    if inv is None:
+        return features if "inv" in features.columns else features.withColumn("inv", F.lit(None).cast("double"))
+    return features.drop("inv").join(sized(inv.select("form", "inv")), "form", "left")
+
+
+def position_pairs(target: DataFrame, source: DataFrame, t_inv: DataFrame | None = None, s_inv: DataFrame | None = None) -> DataFrame:
+    """target, source (unit, pos, form, feature[, inv]) to position pairs with the shared feature."""
+    shared = sized(source.select("feature").distinct())
+    near = with_rarity(target.join(shared, "feature", "left_semi"), t_inv)
+    far = sized(with_rarity(source, s_inv))
+    t, s = (x.select("feature", *[F.col(c).alias(f"{p}_{c}") for c in ("unit", "pos", "form", "inv")]) for x, p in ((near, "t"), (far, "s")))
+    return t.join(F.broadcast(s) if _hinted(far) else s, "feature")
+
+
+def _hinted(df: DataFrame) -> bool:
+    return "strategy=broadcast" in df._jdf.queryExecution().logical().toString()
+
+
+def candidates(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the pairs dealt out by units, the units with two different position pairs). The second has no shuffle of its own."""
+    dealt = pairs.repartition(*PAIR)
+    both = F.struct("t_pos", "s_pos")
+    return dealt, dealt.groupBy(*PAIR).agg(F.min(both).alias("_a"), F.max(both).alias("_b")).filter("_a <> _b").select(*PAIR)
 
 
 def scored(pairs: DataFrame, distance: str = "frequency", max_distance: int | None = 10, min_score: float | None = None) -> DataFrame:
     """position_pairs() to (t_unit, s_unit, features, distance, score, highlight)."""
     if distance not in DISTANCES:
         raise ValueError(f"unknown distance {distance!r}")
+    dealt, two = candidates(pairs)
     hits = F.array_sort(F.collect_set(F.struct(F.col("s_pos"), F.col("t_pos"))))
-    units = pairs.groupBy("t_unit", "s_unit").agg(
+    units = dealt.join(two, PAIR, "left_semi").groupBy(*PAIR).agg(
         hits.alias("highlight"), side("t_inv", "t_pos", "t_form").alias("_t"), side("s_inv", "s_pos", "s_form").alias("_s"), F.array_sort(F.collect_set("feature")).alias("features"))
-    units = units.filter(F.size("highlight") >= 2).withColumns({"_dt": side_distance(F.col("_t"), distance), "_ds": side_distance(F.col("_s"), distance)})
+    units = units.withColumns({"_dt": side_distance(F.col("_t"), distance), "_ds": side_distance(F.col("_s"), distance)})
     units = units.filter((F.col("_dt") > 0) & (F.col("_ds") > 0)).withColumn("distance", F.col("_dt") + F.col("_ds"))
     if max_distance is not None:
         units = units.filter(F.col("distance") <= max_distance)
@@ -64,51 +91,61 @@ def scored(pairs: DataFrame, distance: str = "frequency", max_distance: int | No
     return units.select("t_unit", "s_unit", "features", "distance", "score", "highlight")
 
 
-def match(target: DataFrame, source: DataFrame, stop: DataFrame | None = None, **options) -> DataFrame:
-    """target, source (unit, pos, form, inv, feature), one row a token and feature."""
-    return scored(position_pairs(without_stopwords(target, stop), without_stopwords(source, stop)), **options)
+def match(target: DataFrame, source: DataFrame, stop: DataFrame | None = None, t_inv: DataFrame | None = None, s_inv: DataFrame | None = None, **options) -> DataFrame:
+    """target, source (unit, pos, form, feature), one row a token and feature; inverse frequencies from their column inv, or
+    from tables (form, inv)."""
+    return scored(position_pairs(without_stopwords(target, stop), without_stopwords(source, stop), t_inv, s_inv), **options)
 
 
 def match_sound(target: DataFrame, source: DataFrame, stop: DataFrame | None = None, max_distance: int | None = 999, min_score: float | None = None) -> DataFrame:
-    """Sound trigrams (unit, idx, form = trigram, inv, feature, pos): candidates as in match; then all shared trigrams count,
-    the stoplist's too, with the index of their first occurrence in the unit and their multiplicities."""
-    pairs = position_pairs(without_stopwords(target, stop), without_stopwords(source, stop))
-    found = pairs.groupBy("t_unit", "s_unit").agg(F.size(F.collect_set(F.struct("t_pos", "s_pos"))).alias("_n"), F.array_sort(F.collect_set("feature")).alias("features")).filter("_n >= 2").drop("_n")
+    """Sound trigrams (unit, pos, idx, feature, inv): candidates and highlights as in match; then all shared trigrams count, the
+    stoplist's too, with the index of their first occurrence in the unit and their multiplicities. Always the distance
+    `frequency`; `inv` is that of the trigram."""
+    pairs = position_pairs(*(without_stopwords(x, stop).withColumn("form", F.col("feature")) for x in (target, source)))
+    dealt, two = candidates(pairs)
+    hits = F.array_sort(F.collect_set(F.struct(F.col("s_pos"), F.col("t_pos"))))
+    found = dealt.join(two, PAIR, "left_semi").groupBy(*PAIR).agg(hits.alias("highlight"), F.array_sort(F.collect_set("feature")).alias("features"))
     per = lambda df, p: df.groupBy(F.col("unit").alias(f"{p}_unit"), "feature").agg(F.min("idx").alias(f"{p}_idx"), F.count(F.lit(1)).alias(f"{p}_n"), F.first("inv").alias(f"{p}_inv"))
-    both = found.join(per(target, "t"), "t_unit").join(per(source, "s"), ["s_unit", "feature"])
+    both = found.join(per(target, "t"), "t_unit").join(sized(per(source, "s")), ["s_unit", "feature"])
     weight = F.col("t_n") * F.col("s_n") * (F.coalesce("t_inv", F.lit(0.0)) + F.coalesce("s_inv", F.lit(0.0)))
-    out = both.groupBy("t_unit", "s_unit").agg(
-        F.first("features").alias("features"), F.sum(weight).alias("_num"), side("t_inv", "t_idx", "feature").alias("_t"), side("s_inv", "s_idx", "feature").alias("_s"))
+    out = both.groupBy(*PAIR).agg(
+        F.first("features").alias("features"), F.first("highlight").alias("highlight"), F.sum(weight).alias("_num"), side("t_inv", "t_idx", "feature").alias("_t"), side("s_inv", "s_idx", "feature").alias("_s"))
     out = out.withColumns({"_dt": side_distance(F.col("_t"), "frequency"), "_ds": side_distance(F.col("_s"), "frequency")}).filter((F.col("_dt") > 0) & (F.col("_ds") > 0))
     out = out.withColumn("distance", F.col("_dt") + F.col("_ds")).withColumn("score", F.log("_num") - F.log("distance"))
     if max_distance is not None:
         out = out.filter(F.col("distance") <= max_distance)
     if min_score is not None:
         out = out.filter(F.col("score") >= min_score)
-    return out.select("t_unit", "s_unit", "features", "distance", "score")
+    return out.select("t_unit", "s_unit", "features", "distance", "score", "highlight")
 
 
 def bridged(features: DataFrame, bridge: DataFrame, stop: DataFrame | None = None, far_stop: DataFrame | None = None) -> DataFrame:
     """Features carried over a translation table bridge(feature, other): those without a translation drop out."""
     near = without_stopwords(features, stop)
-    return without_stopwords(near.join(bridge, "feature").drop("feature").withColumnRenamed("other", "feature").distinct(), far_stop)
+    return without_stopwords(near.join(sized(bridge), "feature").drop("feature").withColumnRenamed("other", "feature").distinct(), far_stop)
 
 
-def match_bridge(greek: DataFrame, latin: DataFrame, bridge: DataFrame, stop: DataFrame | None = None, far_stop: DataFrame | None = None, **options) -> DataFrame:
+def match_bridge(near: DataFrame, far: DataFrame, bridge: DataFrame, stop: DataFrame | None = None, far_stop: DataFrame | None = None,
+                 t_inv: DataFrame | None = None, s_inv: DataFrame | None = None, **options) -> DataFrame:
     """Cross-language match: the first side's features are translated, then matched with the second side's."""
-    return scored(position_pairs(bridged(greek, bridge, stop, far_stop), without_stopwords(latin, far_stop)), **options)
+    return scored(position_pairs(bridged(near, bridge, stop, far_stop), without_stopwords(far, far_stop), t_inv, s_inv), **options)
+
 
+def bridge_closure(bridge: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+    """(feature, sibling): features with a common translation, of a vocabulary (feature) if one is given.
 
-def bridge_closure(bridge: DataFrame) -> DataFrame:
-    """(feature, sibling): features with a common translation."""
+    The self-join is quadratic in the features that share a translation; a dictionary has few, and adaptive execution splits
+    a translation that many share."""
+    if vocabulary is not None:
+        bridge = bridge.join(vocabulary.select("feature").distinct(), "feature", "left_semi")
     other = bridge.select(F.col("feature").alias("sibling"), "other")
     return bridge.join(other, "other").select("feature", "sibling").distinct()
 
 
-def bridge_inverse_frequencies(tokens: DataFrame, bridge: DataFrame) -> DataFrame:
-    """(form, inv): tokens / (count of the form and of its distinct translation siblings)."""
-    n = tokens.filter(F.col("form").isNotNull()).groupBy("form").agg(F.count(F.lit(1)).alias("n"))
-    siblings = bridge_closure(bridge).select(F.col("feature").alias("form"), "sibling").unionByName(n.select("form", F.col("form").alias("sibling"))).distinct()
-    counts = siblings.join(n.select(F.col("form").alias("sibling"), "n"), "sibling").groupBy("form").agg(F.sum("n").alias("n"))
-    total = tokens.agg(F.count(F.lit(1)).alias("_all"))
-    return counts.join(n.select("form"), "form", "left_semi").join(F.broadcast(total)).select("form", F.try_divide("_all", "n").alias("inv"))
+def bridge_inverse_frequencies(counts: DataFrame, total: int | Column, bridge: DataFrame) -> DataFrame:
+    """(form, inv): total / (count of the form and of its distinct translation siblings). counts(form, n) are those of the
+    tokens that share a lemma with the form; the bridge's features are looked up among the forms."""
+    siblings = bridge_closure(bridge, counts.select(F.col("form").alias("feature"))).select(F.col("feature").alias("form"), "sibling")
+    siblings = siblings.unionByName(counts.select("form", F.col("form").alias("sibling"))).distinct()
+    summed = siblings.join(counts.select(F.col("form").alias("sibling"), "n"), "sibling").groupBy("form").agg(F.sum("n").alias("n"))
+    return summed.select("form", F.try_divide(F.lit(total) if isinstance(total, int) else total, F.col("n")).alias("inv")).filter("inv is not null")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import pairs_of
 
@@ -12,28 +13,39 @@ def bigrams(features: DataFrame) -> DataFrame:
     """features(text_id, unit, pos, inv, feature) to (text_id, unit, w1, w2, score), w1 < w2 or equal.
 
     Any two positions p1 < p2 of a unit count; of several for a pair the first (p1, p2) stays.
-    score = ln((inv1 + inv2) / (p2 - p1)): adjacent words have distance 1 here."""
+    score = ln((inv1 + inv2) / (p2 - p1)): adjacent words have distance 1 here. The rows of a unit grow with the square of its
+    words, as the reading of all pairs asks for; units are lines or phrases."""
     a = features.select("text_id", "unit", F.col("pos").alias("p1"), F.col("inv").alias("i1"), F.col("feature").alias("f1"))
     b = features.select("text_id", "unit", F.col("pos").alias("p2"), F.col("inv").alias("i2"), F.col("feature").alias("f2"))
     both = a.join(b, ["text_id", "unit"]).filter("p1 < p2")
-    score = F.log((F.col("i1") + F.col("i2")) / (F.col("p2") - F.col("p1")))
+    score = F.log((F.coalesce("i1", F.lit(0.0)) + F.coalesce("i2", F.lit(0.0))) / (F.col("p2") - F.col("p1")))
     return (both.groupBy("text_id", "unit", F.least("f1", "f2").alias("w1"), F.greatest("f1", "f2").alias("w2"))
             .agg(F.min_by(score, F.struct("p1", "p2", "f1")).alias("score")))
 
 
-def write_bigrams(found: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Partitioned by text, sorted by pair within files, so that a lookup prunes partitions and row groups."""
-    found.sortWithinPartitions("w1", "w2").write.partitionBy("text_id").option("partitionOverwriteMode", "dynamic").mode(mode).parquet(path)
-
-
 def match_bigrams(matches: DataFrame) -> DataFrame:
     """matches(match_id, features) to (match_id, w1, w2): two-element combinations of the sorted features."""
     return matches.select("match_id", F.explode(pairs_of(F.array_sort("features"))).alias("x")).select("match_id", "x.w1", "x.w2")
 
 
-def multitext(matches: DataFrame, corpus_bigrams: DataFrame) -> DataFrame:
-    """(match_id, w1, w2, units): the other texts' units of each pair, best first; a pair nowhere found has an empty list."""
-    hit = match_bigrams(matches).join(corpus_bigrams, ["w1", "w2"], "left")
-    entry = F.when(F.col("unit").isNotNull(), F.struct((-F.col("score")).alias("k"), "text_id", "unit", "score"))
-    units = F.transform(F.array_sort(F.collect_list(entry)), lambda x: F.struct(x["text_id"].alias("text_id"), x["unit"].alias("unit"), x["score"].alias("score")))
-    return hit.groupBy("match_id", "w1", "w2").agg(units.alias("units"))
+def lookup(pairs: DataFrame, corpus_bigrams: DataFrame, top: int | None = None) -> DataFrame:
+    """(w1, w2, text_id, unit, score, place) of each distinct pair's units, best first; `top` keeps the first ones of a pair.
+
+    Rows, not lists: a frequent pair is many rows, which the sort spills. With `top` the ranks are cut before the shuffle."""
+    hit = corpus_bigrams.join(pairs.select("w1", "w2").distinct(), ["w1", "w2"])
+    best = Window.partitionBy("w1", "w2").orderBy(F.desc("score"), "text_id", "unit")
+    ranked = hit.withColumn("place", F.row_number().over(best))
+    return ranked.filter(F.col("place") <= top) if top else ranked
+
+
+def multitext(matches: DataFrame, corpus_bigrams: DataFrame, top: int | None = None) -> DataFrame:
+    """(match_id, w1, w2, text_id, unit, score, place): the units of each pair of each match; a pair that no unit holds has
+    one row without a unit."""
+    pairs = match_bigrams(matches)
+    return pairs.join(lookup(pairs, corpus_bigrams, top), ["w1", "w2"], "left").select("match_id", "w1", "w2", "text_id", "unit", "score", "place")
+
+
+def of_unit_types(corpus_bigrams: DataFrame, texts: DataFrame, unit_type: str) -> DataFrame:
+    """The bigrams of texts(text_id, is_prose): phrases of prose, else the asked unit type."""
+    wanted = texts.select("text_id", F.when(F.col("is_prose"), "phrase").otherwise(unit_type).alias("unit_type"))
+    return corpus_bigrams.join(F.broadcast(wanted.limit(100_000)) if wanted.count() <= 100_000 else wanted, ["text_id", "unit_type"], "left_semi")

@@ -1,15 +1,18 @@
-"""Units: lines and phrases of texts, simple (plain text, builtins) and exact (tagged text, a state machine a text)."""
+"""Units: lines and phrases of texts, simple (plain text, builtins) and exact (tagged text, one pass over its tokens)."""
 
 from __future__ import annotations
 
 import re
-import unicodedata
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+from itertools import dropwhile
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .tokenizers import LINE_END, Display, tokenizer
 
 #: (text_id, unit_type, unit, pos, display, form, tags, snippet)
 UNIT_TOKENS = "text_id string, unit_type string, unit int, pos int, token_index int, display string, form string, tags array<string>, snippet string"
@@ -28,99 +31,103 @@ def token_positions(units: DataFrame, id_col: str, pattern: str = r"\p{L}+") ->
     return units.select(id_col, "unit", F.posexplode(X.words(F.col("snippet"), pattern)).alias("pos", "form"))
 
 
-WORDS = {"latin": re.compile(r"[a-zA-Z]+"), "english": re.compile(r"[a-zA-Z]+(?:['’\-][a-zA-Z]+)*"), "greek": re.compile(r"[^\W\d_]+(?:[’'](?!\w))?")}
-MARKS = "̀-ͯ"
+@dataclass
+class Unit:
+    tags: list[str]
+    tokens: list[tuple[int, str, str | None]] = field(default_factory=list)  # index in the text, display, form
+    pieces: list[str] = field(default_factory=list)
 
+    def snippet(self) -> str:
+        """What is shown: from the first piece with a word character on."""
+        shown = list(dropwhile(lambda p: not re.search(r"\w", p), self.pieces))
+        return "".join(shown)
 
-def forms_of(display: str, language: str) -> str | None:
-    """Normal form of a display token; None for a digit, a mark or a word of another script."""
-    w = unicodedata.normalize("NFKD", display).lower()
-    if language == "latin":
-        w = re.sub(f"[{MARKS}]", "", w).translate(str.maketrans("jv", "iu"))
-        return w if re.search("[a-z]", w) else None
-    if language == "english":
-        return re.sub("[^a-z]", "", w) or None
-    w = re.sub(r"['’\d]", "", w.replace("̀", "́"))
-    return w if re.search(r"[^\W\d_]", w) else None
 
+def unitize(tokens: list[Display], tags: list[str]) -> tuple[list[Unit], list[Unit]]:
+    """(lines, phrases) of a text's display tokens.
 
-def display_tokens(raw: list[tuple[str, str]], language: str) -> list[tuple[str, bool, str | None]]:
-    """(display, is_word, form) of tagged lines; a line end is ` / `. A digit run is a word without form."""
-    splitter = re.compile(rf" / |[\w{MARKS}]+(?:['’\-][\w{MARKS}]+)*['’]?|\s+|[^\w\s{MARKS}]+|[{MARKS}]+")
-    out = []
-    for n, (_, line) in enumerate(raw):
-        text = unicodedata.normalize("NFKD", line.replace("/", " "))
-        for m in splitter.finditer(text):
-            d = m[0]
-            word = bool(re.search(r"\w", d))
-            out.append((d, word, forms_of(d, language) if word else None))
-        if n + 1 < len(raw):
-            out.append((" / ", False, None))
-    return out
-
-
-def unitize(tokens: list[tuple[str, bool, str | None]], tags: list[str]) -> list[tuple]:
-    """Rows (unit_type, unit, pos, token_index, display, form, tags, snippet) of the lines and phrases.
-
-    A phrase ends after a token with one of `.?!;:` once it has a word, or at a blank line; a mark that follows directly
-    stays with the phrase before. A unit that spans lines has all their tags. Trailing units of less than two words are
+    A phrase ends after a piece with one of `.?!;:` once it has a token, or at a blank line; the pieces without a word that
+    follow its end are not shown. A unit that spans lines has all their tags. Trailing units of less than two tokens are
     dropped, short ones inside stay."""
-    lines, phrases = [], []
-    line, phrase = {"w": [], "tags": tags[:1], "s": ""}, {"w": [], "tags": tags[:1], "s": ""}
-    at, blank = 0, False
-    for i, (d, word, form) in enumerate(tokens):
-        if d == " / ":
-            if line["w"]:
-                lines.append(line)
-            if blank and phrase["w"]:
-                phrases.append(phrase)
-                phrase = {"w": [], "tags": [], "s": ""}
-            blank, at = True, at + 1
-            tag = tags[at:at + 1]
-            line = {"w": [], "tags": tag, "s": ""}
-            if phrase["w"]:
-                phrase["s"] += d
-                phrase["tags"] = phrase["tags"] + [t for t in tag if t not in phrase["tags"]]
-            else:
-                phrase["tags"], phrase["s"] = tag, ""
-            continue
-        blank = blank and d.isspace()
-        line["s"] += d
-        if not word and not phrase["w"] and phrases and not d.isspace():
-            phrases[-1]["s"] += d
-            continue
-        phrase["s"] += d
-        if word:
-            for u in (line, phrase):
-                u["w"].append((i, d, form))
-        if PHRASE_END.search(d) and phrase["w"]:
+    lines: list[Unit] = []
+    phrases: list[Unit] = []
+    at, after_end = 0, False
+    line, phrase = Unit(tags[:1]), Unit(tags[:1])
+    for i, t in enumerate(tokens):
+        ends = LINE_END in t.text
+        phrase.pieces.append(t.text)
+        if not ends:
+            line.pieces.append(t.text)
+        if t.word:
+            lone = phrases and not phrase.tokens and not re.search(r"\w", t.text)  # a lone mark after a phrase's end
+            for u in (line, phrases[-1] if lone else phrase):
+                u.tokens.append((i, t.text, t.form))
+        if PHRASE_END.search(t.text) and phrase.tokens:
             phrases.append(phrase)
-            phrase = {"w": [], "tags": tags[at:at + 1], "s": ""}
-    if line["w"]:
-        lines.append(line)
-    if phrase["w"]:
-        phrases.append(phrase)
-    out = []
-    for kind, units in (("line", lines), ("phrase", phrases)):
-        while units and len(units[-1]["w"]) < 2:
-            units.pop()
+            phrase = Unit(tags[at:at + 1])
+        if ends:
+            if not phrase.tokens:
+                phrase.tags.clear()
+            elif after_end:  # a blank line
+                phrase.pieces.pop()
+                phrases.append(phrase)
+                phrase = Unit([])
+            if line.tokens:
+                lines.append(line)
+                at += 1
+            line = Unit(tags[at:at + 1])
+            phrase.tags += [x for x in tags[at:at + 1] if x not in phrase.tags]
+        after_end = ends
+    for unit, done in ((line, lines), (phrase, phrases)):
+        if unit.tokens:
+            done.append(unit)
+        while done and len(done[-1].tokens) < 2:
+            done.pop()
+    return lines, phrases
+
+
+def unit_rows(raw: str, language: str) -> Iterator[tuple]:
+    """(unit_type, unit, pos, token_index, display, form, tags, snippet) of a tagged text."""
+    for kind, units in zip(("line", "phrase"), unitize(*tokenizer(language).tokenize(raw)), strict=True):
         for k, u in enumerate(units):
-            out += [(kind, k, p, i, d, f, u["tags"], u["s"].strip()) for p, (i, d, f) in enumerate(u["w"])]
-    return out
+            shown = "".join(u.pieces) if kind == "line" else u.snippet()
+            yield from ((kind, k, p, i, d, f, u.tags, shown) for p, (i, d, f) in enumerate(u.tokens))
 
 
 def tagged_units(lines: DataFrame) -> DataFrame:
-    """lines(text_id, language, line_no, tag, body) to UNIT_TOKENS; one text is one group, as its units are sequential."""
+    """lines(text_id, language, line_no, line) to UNIT_TOKENS; one text is one group, as its units follow from one another.
+
+    A group is a text, so a task holds one text at a time; it can be no smaller than the longest text."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line_no")
-        rows = unitize(display_tokens(list(zip(pdf["tag"], pdf["body"], strict=True)), pdf["language"].iloc[0]), pdf["tag"].tolist())
+        rows = unit_rows("\n".join(pdf.sort_values("line_no")["line"]), pdf["language"].iloc[0])
         out = pd.DataFrame(rows, columns=["unit_type", "unit", "pos", "token_index", "display", "form", "tags", "snippet"])
         return out.assign(text_id=pdf["text_id"].iloc[0])[["text_id", "unit_type", "unit", "pos", "token_index", "display", "form", "tags", "snippet"]]
 
     return lines.groupBy("text_id").applyInPandas(one, UNIT_TOKENS)
 
 
+TOKENS = "text_id string, index int, display string, word boolean, form string"
+
+
+def tagged_tokens(lines: DataFrame) -> DataFrame:
+    """lines(text_id, language, line_no, line) to TOKENS: every display token of a text, in order."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        tokens, _ = tokenizer(pdf["language"].iloc[0]).tokenize("\n".join(pdf.sort_values("line_no")["line"]))
+        out = pd.DataFrame([(i, t.text, t.word, t.form) for i, t in enumerate(tokens)], columns=["index", "display", "word", "form"])
+        return out.assign(text_id=pdf["text_id"].iloc[0])[["text_id", "index", "display", "word", "form"]]
+
+    return lines.groupBy("text_id").applyInPandas(one, TOKENS)
+
+
+def nested_units(tokens: DataFrame) -> DataFrame:
+    """Flat unit tokens to one row a unit: (text_id, unit_type, unit, tags, snippet, tokens), tokens in order, and `forms`."""
+    each = F.struct("pos", "token_index", "display", "form", *[c for c in ("features",) if c in tokens.columns])
+    out = tokens.groupBy("text_id", "unit_type", "unit").agg(F.first("tags").alias("tags"), F.first("snippet").alias("snippet"), F.array_sort(F.collect_list(each)).alias("tokens"))
+    return out.withColumn("forms", F.transform("tokens", lambda t: t["form"]))
+
+
 def divisions(tags: DataFrame) -> DataFrame:
     """tags(text_id, tag) to (text_id, divisions): what stands before the first dot, in natural order."""
     part = F.split("tag", "[.]")

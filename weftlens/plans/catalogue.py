@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import predicates as P
 from ..functions import text as X
@@ -17,6 +16,7 @@ from ..operators import multitext as U
 from ..operators import results as R
 from ..operators import units as N
 from ..sources import exports, store
+from ..sources.scratch import sized, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,13 +45,15 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _tokens(spark: SparkSession, d: str, table: str, key: str) -> DataFrame:
-    """(unit, pos, form) of the lines of a table; a unit is `id:line`."""
-    t = N.token_positions(N.plain_units(_table(spark, d, table), key, "text"), key)
+def _tokens(spark: SparkSession, d: str, table: str, key: str, by: str = "line") -> DataFrame:
+    """(unit, pos, form) of the lines or phrases of a table; a unit is `id:number`."""
+    t = N.token_positions(N.plain_units(_table(spark, d, table), key, "text", by), key)
     return t.select(F.concat_ws(":", key, "unit").alias("unit"), "pos", "form", F.col(key))
 
 
-def _units_sql(table: str, key: str, name: str) -> str:
+def _units_sql(table: str, key: str, name: str, by: str = "line") -> str:
+    if by == "phrase":
+        return _units_sql(table, key, name).replace("string_split(text, chr(10))", "regexp_split_to_array(text, '[.?!;:\\n]+')")
     return f"""{name}_l AS (SELECT {key}, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM {table}),
 {name}_w AS (SELECT {key}, line_no, regexp_extract_all(lower(line), '\\p{{L}}+') AS w FROM {name}_l WHERE trim(line) <> ''),
 {name} AS (SELECT {key}, {key} || ':' || line_no AS unit, unnest(w) AS form, generate_subscripts(w, 1) - 1 AS pos FROM {name}_w)"""
@@ -59,6 +61,7 @@ def _units_sql(table: str, key: str, name: str) -> str:
 
 TOK = _units_sql("documents", "doc_id", "tok")
 BEN = _units_sql("benchmark", "item_id", "ben")
+PHR = _units_sql("documents", "doc_id", "phr", "phrase")
 
 
 @query("SELECT doc_id, CAST(unit AS BIGINT) AS unit, snippet FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS snippet, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS unit FROM documents) WHERE trim(snippet) <> ''")
@@ -104,14 +107,37 @@ def _stems(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("features", F.array(F.substring("form", 1, 6)))
 
 
-@query(f"WITH {BEN}, c AS (SELECT form, count(*) AS k, {PREFIX} AS f FROM ben GROUP BY form) SELECT a.form, CAST(sum(b.k) AS BIGINT) AS n FROM c a JOIN c b USING (f) GROUP BY a.form")
+@query(f"WITH {TOK}, c AS (SELECT form, count(*) AS k, {PREFIX} AS f FROM tok GROUP BY form) SELECT a.form, CAST(sum(b.k) AS BIGINT) AS n FROM c a JOIN c b USING (f) GROUP BY a.form")
 def cofeature_forms(spark, d):
-    return Q.cofeature_counts(_stems(_tokens(spark, d, "benchmark", "item_id")))
+    return Q.cofeature_counts(_stems(written(_tokens(spark, d, "documents", "doc_id"))))
 
 
-@query(f"WITH {TOK}, c AS (SELECT form, count(*) AS k, {PREFIX} AS f FROM tok GROUP BY form) SELECT a.form, CAST(sum(b.k) AS BIGINT) AS n FROM c a JOIN c b USING (f) GROUP BY a.form")
-def cofeature_forms_documents(spark, d):
-    return Q.cofeature_counts(_stems(_tokens(spark, d, "documents", "doc_id")))
+@query(f"WITH {TOK}, c AS (SELECT form, count(*) AS k, {PREFIX} AS f FROM tok GROUP BY form) SELECT a.form, round((SELECT count(*) FROM tok) / CAST(sum(b.k) AS DOUBLE), 6) AS inv FROM c a JOIN c b USING (f) GROUP BY a.form")
+def inverse_cofeature_frequency(spark, d):
+    return Q.inverse_cofeature_frequencies(_stems(written(_tokens(spark, d, "documents", "doc_id")))).withColumn("inv", F.round("inv", 6))
+
+
+@query(f"WITH {TOK}, g AS (SELECT unnest([substr(form, CAST(i AS BIGINT), 3) FOR i IN range(1, length(form) - 1)]) AS feature FROM tok WHERE length(form) >= 3) SELECT feature, round(CAST(sum(count(*)) OVER () AS DOUBLE) / count(*), 6) AS inv FROM g GROUP BY feature")
+def sound_inverse_frequency(spark, d):
+    n = written(Q.feature_counts(E.exploded(E.sound_features(_tokens(spark, d, "documents", "doc_id")))))
+    return Q.of_counts(n, "feature").withColumn("inv", F.round("inv", 6))
+
+
+@query(f"WITH {TOK}, f AS (SELECT lang, form, min((lpad(CAST(doc_id AS VARCHAR), 9, '0'), CAST(string_split(unit, ':')[2] AS BIGINT) * 100000 + pos)) AS first_at, CAST(count(*) AS BIGINT) AS n FROM tok JOIN documents USING (doc_id) GROUP BY lang, form) SELECT lang AS language, form AS token, CAST(row_number() OVER (PARTITION BY lang ORDER BY first_at, form) - 1 AS BIGINT) AS \"index\" FROM f")
+def registered_features(spark, d):
+    """Indexes of forms by first occurrence, for each language; documents as the texts."""
+    t = _tokens(spark, d, "documents", "doc_id").join(_table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    at = F.element_at(F.split("unit", ":"), 2).cast("long") * 100000 + F.col("pos")
+    rows = t.select(F.col("lang").alias("language"), F.lit("form").alias("feature"), F.col("form").alias("token"), F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("text_id"), at.alias("at"))
+    return Q.registered(rows).drop("feature")
+
+
+@query("SELECT doc_id, CAST(line_no AS BIGINT) AS unit, array_to_string(w, ' ') AS forms FROM (WITH " + TOK + " SELECT * FROM tok_w) WHERE len(w) > 0")
+def unit_forms(spark, d):
+    """Units in the nested form: their tokens in order as an array, projected to the forms."""
+    t = N.token_positions(N.plain_units(_table(spark, d, "documents"), "doc_id", "text"), "doc_id").withColumnRenamed("doc_id", "text_id")
+    flat = t.withColumns({"unit_type": F.lit("line"), "token_index": F.col("pos"), "display": F.col("form"), "tags": F.array().cast("array<string>"), "snippet": F.lit(None).cast("string")})
+    return N.nested_units(flat).select(F.col("text_id").alias("doc_id"), F.col("unit").cast("long").alias("unit"), F.array_join("forms", " ").alias("forms"))
 
 
 @query(f"WITH {TOK}, c AS (SELECT {PREFIX} AS f, count(*) AS k FROM tok GROUP BY 1), q AS (SELECT f, k / CAST(sum(k) OVER () AS DOUBLE) AS freq FROM c) SELECT form, round(1.0 / avg(freq), 6) AS inv FROM (SELECT DISTINCT form, {PREFIX} AS f FROM tok) JOIN q USING (f) GROUP BY form")
@@ -138,13 +164,18 @@ def stoplist_texts(spark, d):
     return Q.stoplist(Q.feature_counts(both), 10)
 
 
-def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Target: documents; source: benchmark; each token once, its form the feature, with the inverse text frequency."""
-    out = []
-    for table, key in (("documents", "doc_id"), ("benchmark", "item_id")):
-        t = _tokens(spark, d, table, key)
-        out.append(t.withColumn("feature", F.col("form")).join(Q.inverse_frequencies(t), "form"))
-    return out[0], out[1]
+def _counts(tokens: DataFrame) -> DataFrame:
+    return written(tokens.groupBy(F.col("form").alias("feature")).agg(F.count(F.lit(1)).alias("n")))
+
+
+def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Target tokens (documents), source tokens (benchmark), the stoplist, and the inverse text frequencies of both sides.
+
+    Each table is tokenized once and written; counts, totals and the stoplist come from one aggregate of it."""
+    t, s = (written(_tokens(spark, d, table, key)) for table, key in (("documents", "doc_id"), ("benchmark", "item_id")))
+    tn, sn = _counts(t), _counts(s)
+    inv = [Q.of_counts(n, "feature").withColumnRenamed("feature", "form") for n in (tn, sn)]
+    return t.withColumn("feature", F.col("form")), s.withColumn("feature", F.col("form")), Q.stoplist(tn, STOPWORDS), *inv
 
 
 SIDES = f"""{TOK}, {BEN}, {STOP},
@@ -169,8 +200,8 @@ def _shown(found: DataFrame) -> DataFrame:
 
 @query(_match_sql("max(pos) - min(pos)", ""))
 def match_form_span(spark, d):
-    t, s = _sides(spark, d)
-    return _shown(M.match(t, s, _stop(spark, d), distance="span", max_distance=None))
+    t, s, stop, ti, si = _sides(spark, d)
+    return _shown(M.match(t, s, stop, ti, si, distance="span", max_distance=None))
 
 
 NEAREST = "abs((list(pos ORDER BY inv DESC, pos))[1] - (list(pos ORDER BY inv DESC, pos))[2])"
@@ -178,20 +209,40 @@ NEAREST = "abs((list(pos ORDER BY inv DESC, pos))[1] - (list(pos ORDER BY inv DE
 
 @query(_match_sql(NEAREST, " WHERE td.dist + sd.dist <= 10"))
 def match_form_frequency(spark, d):
-    t, s = _sides(spark, d)
-    return _shown(M.match(t, s, _stop(spark, d), distance="frequency", max_distance=10))
+    t, s, stop, ti, si = _sides(spark, d)
+    return _shown(M.match(t, s, stop, ti, si, distance="frequency", max_distance=10))
+
+
+@query(_match_sql(NEAREST, " WHERE ln(td.num + sd.num) - ln(td.dist + sd.dist) >= 9"))
+def match_form_min_score(spark, d):
+    t, s, stop, ti, si = _sides(spark, d)
+    return _shown(M.match(t, s, stop, ti, si, distance="frequency", max_distance=None, min_score=9.0))
 
 
-@query()
+SOUND_STOP = 1000
+TRIGRAMS = lambda name, tok: f"""{name}_g AS (SELECT unit, pos, unnest([substr(form, CAST(i AS BIGINT), 3) FOR i IN range(1, length(form) - 1)]) AS feature, generate_subscripts([i FOR i IN range(1, length(form) - 1)], 1) AS nth FROM {tok} WHERE length(form) >= 3),
+{name} AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY pos, nth) - 1 AS idx FROM {name}_g),
+{name}_i AS (SELECT feature, CAST(sum(count(*)) OVER () AS DOUBLE) / count(*) AS inv FROM {name} GROUP BY feature),
+{name}_u AS (SELECT unit, feature, min(idx) AS idx, count(*) AS n FROM {name} GROUP BY unit, feature)"""
+
+
+@query(f"""WITH {PHR}, {BEN}, {TRIGRAMS("tg", "phr")}, {TRIGRAMS("sg", "ben")},
+stop AS (SELECT feature FROM tg GROUP BY feature ORDER BY count(*) DESC, feature LIMIT {SOUND_STOP}),
+hits AS (SELECT DISTINCT t.unit AS t_unit, s.unit AS s_unit, t.pos AS t_pos, s.pos AS s_pos, feature FROM tg t JOIN sg s USING (feature) WHERE feature NOT IN (SELECT feature FROM stop)),
+cand AS (SELECT t_unit, s_unit, string_agg(DISTINCT feature, ' ' ORDER BY feature) AS features FROM hits GROUP BY 1, 2 HAVING count(DISTINCT (t_pos, s_pos)) >= 2),
+shared AS (SELECT t_unit, s_unit, features, t.feature AS f, t.idx AS t_idx, s.idx AS s_idx, t.n * s.n AS k, ti.inv AS t_inv, si.inv AS s_inv FROM cand JOIN tg_u t ON t.unit = t_unit JOIN sg_u s ON s.unit = s_unit AND s.feature = t.feature JOIN tg_i ti ON ti.feature = t.feature JOIN sg_i si ON si.feature = t.feature),
+lists AS (SELECT t_unit, s_unit, features, sum(k * (t_inv + s_inv)) AS num, list(t_idx ORDER BY t_inv DESC, t_idx) AS t, list(s_idx ORDER BY s_inv DESC, s_idx) AS s FROM shared GROUP BY 1, 2, 3 HAVING count(*) >= 2),
+d AS (SELECT *, abs(t[1] - t[2]) + 1 + abs(s[1] - s[2]) + 1 AS dist FROM lists)
+SELECT t_unit, s_unit, features, CAST(dist AS BIGINT) AS distance, round(ln(num) - ln(dist), 6) AS score FROM d WHERE dist <= 10""")
 def match_sound(spark, d):
-    """Benchmark items against each other by sound trigrams (not in SQL: multiplicities and first occurrences by candidate)."""
-    t = E.exploded(E.sound_features(_tokens(spark, d, "benchmark", "item_id")))
-    inv = Q.inverse_frequencies(t.withColumn("form", F.col("feature"))).withColumnRenamed("form", "feature")
-    idx = F.row_number().over(Window.partitionBy("unit").orderBy("pos", "feature")) - 1
-    t = t.withColumn("idx", idx).withColumn("form", F.col("feature")).join(inv, "feature")
-    stop = Q.stoplist(Q.feature_counts(t), STOPWORDS * 4)
-    found = M.match_sound(t.withColumn("unit", F.concat(F.lit("t"), "unit")), t, stop).filter(F.substring("t_unit", 2, 99) < F.col("s_unit"))
-    return _shown(found)
+    """Phrases of the documents against benchmark items by sound trigrams."""
+    sides = []
+    for table, key, by in (("documents", "doc_id", "phrase"), ("benchmark", "item_id", "line")):
+        g = written(R.trigram_places(E.exploded(E.sound_features(_tokens(spark, d, table, key, by)))))
+        n = written(Q.feature_counts(g))
+        sides.append((g.join(sized(Q.of_counts(n, "feature")), "feature"), n))
+    (t, tn), (s, _) = sides
+    return _shown(M.match_sound(t, s, Q.stoplist(tn, SOUND_STOP), max_distance=10))
 
 
 def _bridge(tokens: DataFrame) -> DataFrame:
@@ -199,12 +250,21 @@ def _bridge(tokens: DataFrame) -> DataFrame:
     return tokens.filter(F.length("form") >= 6).select(F.col("form").alias("feature"), F.substring("form", 1, 6).alias("other")).distinct()
 
 
-@query(f"WITH {BEN}, b AS (SELECT DISTINCT form, substr(form, 1, 6) AS o FROM ben WHERE length(form) >= 6) SELECT DISTINCT x.form AS feature, y.form AS sibling FROM b x JOIN b y USING (o)")
+@query(f"WITH {TOK}, b AS (SELECT DISTINCT form, substr(form, 1, 6) AS o FROM tok WHERE length(form) >= 6) SELECT DISTINCT x.form AS feature, y.form AS sibling FROM b x JOIN b y USING (o)")
 def bridge_closure(spark, d):
-    return M.bridge_closure(_bridge(_tokens(spark, d, "benchmark", "item_id")))
+    return M.bridge_closure(_bridge(_tokens(spark, d, "documents", "doc_id")))
+
 
+@query(f"""WITH {TOK}, c AS (SELECT form, count(*) AS k FROM tok GROUP BY form), b AS (SELECT form, substr(form, 1, 6) AS o FROM c WHERE length(form) >= 6),
+sib AS (SELECT x.form, y.form AS other FROM b x JOIN b y USING (o) UNION SELECT form, form FROM c) SELECT sib.form, round((SELECT sum(k) FROM c) / CAST(sum(c.k) AS DOUBLE), 6) AS inv FROM sib JOIN c ON c.form = sib.other GROUP BY sib.form""")
+def bridge_inverse_frequency(spark, d):
+    n = _counts(_tokens(spark, d, "documents", "doc_id")).withColumnRenamed("feature", "form")
+    total = n.agg(F.sum("n")).first()[0] or 0
+    return M.bridge_inverse_frequencies(n, total, written(_bridge(n))).withColumn("inv", F.round("inv", 6))
 
-@query(f"""WITH {TOK}, {BEN},
+
+def _bridge_sql(gap: str) -> str:
+    return f"""WITH {TOK}, {BEN},
 ti AS (SELECT form, CAST(sum(count(*)) OVER () AS DOUBLE) / count(*) AS inv FROM tok GROUP BY form), si AS (SELECT form, CAST(sum(count(*)) OVER () AS DOUBLE) / count(*) AS inv FROM ben GROUP BY form),
 hits AS (SELECT t.unit AS t_unit, s.unit AS s_unit, t.pos AS t_pos, s.pos AS s_pos, t.form AS t_form, s.form AS s_form, s.form AS f, ti.inv AS t_inv, si.inv AS s_inv
   FROM tok t JOIN ben s ON length(t.form) >= 6 AND substr(t.form, 1, 6) = s.form JOIN ti ON ti.form = t.form JOIN si ON si.form = s.form),
@@ -212,32 +272,49 @@ cand AS (SELECT t_unit, s_unit FROM hits GROUP BY 1, 2 HAVING count(DISTINCT (t_
 tp AS (SELECT DISTINCT t_unit, s_unit, t_pos AS pos, t_form AS form, t_inv AS inv FROM hits SEMI JOIN cand USING (t_unit, s_unit)),
 sp AS (SELECT DISTINCT t_unit, s_unit, s_pos AS pos, s_form AS form, s_inv AS inv FROM hits SEMI JOIN cand USING (t_unit, s_unit)),
 feats AS (SELECT t_unit, s_unit, string_agg(DISTINCT f, ' ' ORDER BY f) AS features FROM hits SEMI JOIN cand USING (t_unit, s_unit) GROUP BY 1, 2),
-td AS (SELECT t_unit, s_unit, max(pos) - min(pos) + 1 AS dist, sum(inv) AS num FROM tp GROUP BY 1, 2 HAVING count(DISTINCT form) >= 2),
-sd AS (SELECT t_unit, s_unit, max(pos) - min(pos) + 1 AS dist, sum(inv) AS num FROM sp GROUP BY 1, 2 HAVING count(DISTINCT form) >= 2)
-SELECT t_unit, s_unit, features, CAST(td.dist + sd.dist AS BIGINT) AS distance, round(ln(td.num + sd.num) - ln(td.dist + sd.dist), 6) AS score FROM td JOIN sd USING (t_unit, s_unit) JOIN feats USING (t_unit, s_unit)""")
+td AS (SELECT t_unit, s_unit, {gap} + 1 AS dist, sum(inv) AS num FROM tp GROUP BY 1, 2 HAVING count(DISTINCT form) >= 2),
+sd AS (SELECT t_unit, s_unit, {gap} + 1 AS dist, sum(inv) AS num FROM sp GROUP BY 1, 2 HAVING count(DISTINCT form) >= 2)
+SELECT t_unit, s_unit, features, CAST(td.dist + sd.dist AS BIGINT) AS distance, round(ln(td.num + sd.num) - ln(td.dist + sd.dist), 6) AS score FROM td JOIN sd USING (t_unit, s_unit) JOIN feats USING (t_unit, s_unit)"""
+
+
+@query(_bridge_sql("max(pos) - min(pos)"))
 def match_bridge(spark, d):
-    t, s = _sides(spark, d)
-    return _shown(M.match_bridge(t, s, _bridge(t.select("form")), distance="span", max_distance=None))
+    t, s, _, ti, si = _sides(spark, d)
+    return _shown(M.match_bridge(t, s, _bridge(ti), t_inv=ti, s_inv=si, distance="span", max_distance=None))
 
 
-@query(f"""WITH {BEN}, i AS (SELECT form, CAST(sum(count(*)) OVER () AS DOUBLE) / count(*) AS inv FROM ben GROUP BY form), t AS (SELECT * FROM ben JOIN i USING (form))
-SELECT CAST(a.item_id AS VARCHAR) AS text_id, a.unit, least(a.form, b.form) AS w1, greatest(a.form, b.form) AS w2, round(arg_min(ln((a.inv + b.inv) / (b.pos - a.pos)), a.pos * 100000 + b.pos), 6) AS score
-FROM t a JOIN t b ON a.unit = b.unit AND a.pos < b.pos GROUP BY a.item_id, a.unit, 3, 4""")
-def bigrams_first_wins(spark, d):
-    t = _tokens(spark, d, "benchmark", "item_id")
-    f = t.withColumn("feature", F.col("form")).join(Q.inverse_frequencies(t), "form").withColumn("text_id", F.col("item_id").cast("string"))
-    return U.bigrams(f).withColumn("score", F.round("score", 6))
+@query(_bridge_sql(NEAREST))
+def match_bridge_frequency(spark, d):
+    t, s, _, ti, si = _sides(spark, d)
+    return _shown(M.match_bridge(t, s, _bridge(ti), t_inv=ti, s_inv=si, distance="frequency", max_distance=None))
 
 
-@query()
+@query(f"""WITH {PHR}, i AS (SELECT form, CAST(sum(count(*)) OVER () AS DOUBLE) / count(*) AS inv FROM phr GROUP BY form), t AS (SELECT * FROM phr JOIN i USING (form)),
+p AS (SELECT a.unit, least(a.form, b.form) AS w1, greatest(a.form, b.form) AS w2, arg_min(ln((a.inv + b.inv) / (b.pos - a.pos)), a.pos * 100000 + b.pos) AS score FROM t a JOIN t b ON a.unit = b.unit AND a.pos < b.pos GROUP BY a.unit, 2, 3)
+SELECT unit, CAST(count(*) AS BIGINT) AS n, min(w1) AS first, max(w2) AS last, round(sum(score), 5) AS score FROM p GROUP BY unit""")
+def bigrams_first_wins(spark, d):
+    """All bigrams of the documents' phrases, summed up by phrase."""
+    t = written(_tokens(spark, d, "documents", "doc_id", "phrase"))
+    inv = Q.of_counts(_counts(t), "feature").withColumnRenamed("feature", "form")
+    found = U.bigrams(t.select(F.col("doc_id").cast("string").alias("text_id"), "unit", "pos", "form", F.col("form").alias("feature")).join(sized(inv), "form"))
+    return found.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.min("w1").alias("first"), F.max("w2").alias("last"), F.round(F.sum("score"), 5).alias("score"))
+
+
+@query(f"""WITH found AS ({_match_sql(NEAREST, " WHERE td.dist + sd.dist <= 10")}), f AS (SELECT t_unit || '|' || s_unit AS match_id, string_split(features, ' ') AS fs FROM found),
+i AS (SELECT match_id, fs, unnest(range(1, len(fs))) AS i FROM f), m AS (SELECT match_id, fs[i] AS w1, unnest(fs[i + 1:]) AS w2 FROM i), {TOK},
+v AS (SELECT form, CAST(sum(count(*)) OVER () AS DOUBLE) / count(*) AS inv FROM tok GROUP BY form), t AS (SELECT unit, pos, form, inv FROM tok JOIN v USING (form) WHERE form IN (SELECT unnest(fs) FROM f)),
+b AS (SELECT a.unit, least(a.form, c.form) AS w1, greatest(a.form, c.form) AS w2, arg_min(ln((a.inv + c.inv) / (c.pos - a.pos)), a.pos * 100000 + c.pos) AS score FROM t a JOIN t c ON a.unit = c.unit AND a.pos < c.pos GROUP BY 1, 2, 3),
+u AS (SELECT w1, w2, CAST(count(*) AS BIGINT) AS n, round(max(score), 6) AS best FROM b GROUP BY w1, w2)
+SELECT match_id, w1, w2, coalesce(n, 0) AS n, best FROM m LEFT JOIN u USING (w1, w2)""")
 def multitext_lookup(spark, d):
     """Feature pairs of the form matches, looked up among the documents' bigrams; only words of the matches are paired."""
-    found = match_form_frequency(spark, d).select(F.concat_ws("|", "t_unit", "s_unit").alias("match_id"), F.split("features", " ").alias("features"))
-    t = _tokens(spark, d, "documents", "doc_id")
-    f = t.withColumn("feature", F.col("form")).join(Q.inverse_frequencies(t), "form").withColumn("text_id", F.col("doc_id").cast("string"))
-    f = f.join(found.select(F.explode("features").alias("feature")).distinct(), "feature", "left_semi")
-    out = U.multitext(found, U.bigrams(f).withColumn("score", F.round("score", 6)))
-    return out.select("match_id", "w1", "w2", F.size("units").cast("long").alias("n"), F.transform("units", lambda x: x["unit"]).alias("units"))
+    t, s, stop, ti, si = _sides(spark, d)
+    found = written(M.match(t, s, stop, ti, si, distance="frequency", max_distance=10).select(F.concat_ws("|", "t_unit", "s_unit").alias("match_id"), "features"))
+    words = sized(written(found.select(F.explode("features").alias("feature")).distinct()))
+    f = t.join(words, "feature", "left_semi").join(sized(ti), "form").withColumn("text_id", F.col("doc_id").cast("string"))
+    pairs = U.match_bigrams(found)
+    per = U.lookup(pairs, U.bigrams(f)).groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 6).alias("best"))
+    return pairs.join(per, ["w1", "w2"], "left").select("match_id", "w1", "w2", F.coalesce("n", F.lit(0)).alias("n"), "best")
 
 
 @query("SELECT * FROM (SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders) WHERE o_orderstatus IN ('F', 'P') AND o_orderpriority NOT IN ('1-URGENT', '5-LOW')")
@@ -250,6 +327,11 @@ def filter_ranges(spark, d):
     return _table(spark, d, "lineitem").filter(P.build_filter(l_quantity=(20, 10), l_discount_not=(0.02, 0.08))).select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
 
 
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' OR (o_orderpriority IN ('5-LOW') AND o_totalprice BETWEEN 1000 AND 50000)")
+def filter_any_of(spark, d):
+    return _table(spark, d, "orders").filter(P.any_of({"o_orderstatus": "P"}, {"o_orderpriority": ["5-LOW"], "o_totalprice": (1000, 50000)})).select("o_orderkey")
+
+
 @query("SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING list_sort(list(DISTINCT l_returnflag)) = ['A', 'R']")
 def filter_set_equal(spark, d):
     flags = _table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_returnflag").alias("flags"))
@@ -263,8 +345,8 @@ def page_by_score(spark, d):
 
 @query("SELECT source, doc_id FROM documents ORDER BY regexp_extract(source, '^\\D*', 0), CAST(regexp_extract(source, '\\d+', 0) AS INT), doc_id LIMIT 100 OFFSET 100")
 def page_natural_sort(spark, d):
-    docs = _table(spark, d, "documents").select("source", "doc_id")
-    return docs.orderBy(X.natural_key(F.col("source")), "doc_id").offset(100).limit(100)
+    docs = _table(spark, d, "documents").select(F.col("source").alias("source_tag"), "doc_id")
+    return R.page(docs, "source_tag", "ascending", 100, 1, ("doc_id",)).select(F.col("source_tag").alias("source"), "doc_id")
 
 
 @query("SELECT doc_id, source || ' ' || lang || ' ' || CAST(doc_id AS VARCHAR) AS tag FROM documents")
@@ -283,6 +365,11 @@ def ranked_scores(spark, d):
     return R.ranked(o, ("o_orderkey",)).select("o_orderkey", "result", F.round("normal_score", 6).alias("normal_score"))
 
 
+@query("SELECT CAST(floor((row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1) / 200) AS BIGINT) AS page, o_orderkey FROM orders")
+def result_pages(spark, d):
+    return R.pages(_table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("score")), 200, ("o_orderkey",)).select("page", "o_orderkey")
+
+
 @query("SELECT CAST(count(*) AS BIGINT) AS n, max(o_totalprice) AS max_score FROM orders")
 def score_summary(spark, d):
     return R.summary(_table(spark, d, "orders").withColumnRenamed("o_totalprice", "score"))
@@ -301,8 +388,8 @@ def upsert_rows(spark, d):
 
 @query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")
 def cascade_semi_join(spark, d):
-    gone = _table(spark, d, "customer").filter("c_nationkey = 3").select(F.col("c_custkey").alias("o_custkey"))
-    return _table(spark, d, "orders").join(gone, "o_custkey", "left_semi").select("o_orderkey")
+    gone = _table(spark, d, "customer").filter("c_nationkey = 3").select(F.col("c_custkey").cast("string").alias("id"))
+    return store.referring(_table(spark, d, "orders").withColumn("who", F.col("o_custkey").cast("string")), gone, "who").select("o_orderkey")
 
 
 @query("SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM events WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY event_type")
@@ -314,14 +401,15 @@ def retention_sweep(spark, d):
 
 @query("SELECT o_orderkey, CAST(len(parts) AS BIGINT) AS n, array_to_string(parts, ',') AS parts FROM (SELECT o_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey) FILTER (WHERE l_partkey IS NOT NULL) AS parts FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey) WHERE parts IS NOT NULL")
 def lookup_left_array(spark, d):
-    items = _table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("items"))
-    out = _table(spark, d, "orders").select("o_orderkey").join(items, "o_orderkey", "left").filter("items is not null")
+    items = _table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey")
+    out = store.lookup(_table(spark, d, "orders").select("o_orderkey"), items, ["o_orderkey"], "items", ["l_linenumber", "l_partkey"]).filter(F.size("items") > 0)
     return out.select("o_orderkey", F.size("items").cast("long").alias("n"), F.array_join(F.transform("items", lambda x: x["l_partkey"].cast("string")), ",").alias("parts"))
 
 
 @query("SELECT o_custkey, o_orderdate, o_totalprice FROM orders WHERE o_orderstatus = 'O' ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 10")
 def aggregation_pipeline(spark, d):
-    return _table(spark, d, "orders").filter("o_orderstatus = 'O'").orderBy(F.desc("o_totalprice"), "o_orderkey").offset(10).limit(50).select("o_custkey", "o_orderdate", "o_totalprice")
+    stages = [{"match": {"o_orderstatus": "O"}}, {"sort": [("o_totalprice", False), ("o_orderkey", True)]}, {"skip": 10}, {"limit": 50}, {"project": ["o_custkey", "o_orderdate", "o_totalprice"]}]
+    return store.pipeline(_table(spark, d, "orders"), stages)
 
 
 @query("SELECT source, CAST(k AS VARCHAR) AS division, CAST(count(*) AS BIGINT) AS n FROM (SELECT source, doc_id % 7 AS k FROM documents) WHERE k <> 3 GROUP BY source, k")
@@ -332,10 +420,11 @@ def map_entry_removal(spark, d):
     return store.without_text(maps, "3").select("source", F.explode("frequencies").alias("division", "n"))
 
 
-@query()
+@query(f"""WITH found AS ({_match_sql(NEAREST, " WHERE td.dist + sd.dist <= 10")})
+SELECT CAST(row_number() OVER (ORDER BY score DESC, t_unit, s_unit) AS BIGINT) AS "Result", t_unit AS "Target_Loc", features AS "Target_Txt", s_unit AS "Source_Loc", features AS "Source_Txt", replace(features, ' ', '; ') AS "Shared",
+  round(score * 10 / max(score) OVER (), 3) AS "Score", score AS "Raw_Score" FROM found""")
 def export_rows(spark, d):
-    """The export columns of the ranked form matches, snippets highlighted."""
-    m = match_form_frequency(spark, d)
-    r = R.ranked(m, ("t_unit", "s_unit"))
+    """The export columns of the ranked form matches, the features in the place of snippets."""
+    r = R.ranked(match_form_frequency(spark, d), ("t_unit", "s_unit"))
     r = r.select("result", F.col("t_unit").alias("target_tag"), F.col("features").alias("target_snippet"), F.col("s_unit").alias("source_tag"), F.col("features").alias("source_snippet"), F.split("features", " ").alias("features"), "normal_score", "score")
     return exports.export_rows(r)

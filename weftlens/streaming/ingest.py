@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text as X
+from ..sources.store import Store
 
 
 def line_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -20,6 +23,16 @@ def feature_stream(lines: DataFrame) -> DataFrame:
     return lines.select(F.explode(X.words(F.col("body"))).alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
 
 
-def start(df: DataFrame, sink, checkpoint: str, mode: str = "append") -> StreamingQuery:
+def into(store: Store, table: str) -> Callable[[DataFrame, int], None]:
+    """A sink that appends each micro-batch to a table once: a replayed batch is known by its number."""
+    def sink(df: DataFrame, batch: int) -> None:
+        if store.exists(table) and not store.read(table).filter(F.col("batch") == batch).isEmpty():
+            return
+        store.insert(table, df.withColumn("batch", F.lit(batch).cast("long")), check=False)
+
+    return sink
+
+
+def start(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
     """sink(batch, batch_id) once for each micro-batch; replays carry the same batch_id."""
     return df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True).start()
