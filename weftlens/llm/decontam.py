@@ -1,10 +1,11 @@
 """Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
 
 1. Seeds are three words of a test item within four: in a row, or with the second or third of four words skipped, so that an
-   edit every third word still leaves some. One pass over the whole texts looks them all up. Where one occurs, the stretch of
+   edit every third word still leaves some. One pass over the whole texts looks them all up. One such seed is common, two of
+   an item on diagonals at most DRIFT apart are rare (four words in a row are two seeds): where these occur, the stretch of
    words that the item would cover there is cut out: a passage. Passages are few and short; they are written.
-2. Every seed found counts, however common it is: a passage is joined to each item with which it shares one. Copies that keep
-   no three of four words are not found.
+2. A passage is joined to each item of its rare seeds, however many passages have them. Copies that keep no two seeds are not
+   found.
 3. Each such pair of passage and item is aligned word by word (Smith-Waterman: match 2, mismatch and gap -1). The score is
    the alignment's divided by 2 * words of the item; from MIN_SCORE on the pair is reported, so edited and reordered copies
    are found too. A pair whose common words can't reach MIN_SCORE, even if all of them matched, isn't aligned. The words
@@ -35,6 +36,8 @@ from .common import WORD, gram_codes, known_words, member, packed, per_text, wri
 
 SEEDS, MIN_SCORE = ((0, 1, 2), (0, 1, 3), (0, 2, 3)), 0.5
 LEAST_WORDS = 4
+#: How far apart the diagonals of two seeds may be.
+DRIFT = 8
 #: Test items, and their characters, whose index is broadcast at once; more items take more passes.
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 8_000_000
 #: One of score in an alignment's packed cells; the bits below count matched words.
@@ -65,9 +68,6 @@ class Items:
         self.t, self.q = t[order], q[order]
         self.keys, self.first = np.unique(code[order], return_index=True)
         self.last = np.append(self.first[1:], len(code))
-        if len(code):  # how far left and right of a seed the items that hold it can reach
-            self.left = np.maximum.reduceat(self.q + self.room[self.t], self.first)
-            self.right = np.maximum.reduceat(size[self.t] - self.q + self.room[self.t], self.first)
 
     def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the seeds in a row of word ids, ascending, and their numbers among the keys."""
@@ -81,21 +81,38 @@ class Items:
         order = np.argsort(at, kind="stable")
         return at[order], key[order]
 
+    def rare(self, places: np.ndarray, keys: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, diagonal, place) of the hits that have another one of their item near their diagonal; place ascends."""
+        n = self.last[keys] - self.first[keys]
+        at = np.repeat(self.first[keys] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        p, x, t = np.repeat(places, n), np.repeat(text, n), self.t[at]
+        d = p - self.q[at]
+        order = np.lexsort((d, t, x))
+        p, x, t, d = p[order], x[order], t[order], d[order]
+        near = (np.diff(d) <= DRIFT) & (np.diff(t) == 0) & (np.diff(x) == 0)
+        kept = np.zeros(len(p), bool)
+        kept[1:] |= near
+        kept[:-1] |= near
+        kept = np.nonzero(kept)[0]
+        kept = kept[np.argsort(p[kept], kind="stable")]
+        return x[kept], t[kept], d[kept], p[kept]
+
     def passages(self, text: str) -> list[tuple[list[int], list[int], list[int], list[int], list[int]]]:
-        """(word ids, starts, ends, seeds found, their places) of each passage of a text."""
+        """(word ids, starts, ends, items, their diagonals) of each passage of a text."""
         at = [(m[0].lower(), m.start(), m.end()) for m in WORD.finditer(text)]
         ids = [self.vocab.get(w, 0) for w, _, _ in at]
         places, keys = self.hits(np.array(ids, np.int64))
+        _, ts, ds, ps = self.rare(places, keys, np.zeros(len(places), np.int64))
         spans: list[list] = []
-        for p, k in zip(places.tolist(), keys.tolist(), strict=True):
-            now = [max(0, p - int(self.left[k])), min(len(ids), p + int(self.right[k])), [p], [k]]
+        for t, d in zip(ts.tolist(), ds.tolist(), strict=True):
+            now = [max(0, d - int(self.room[t])), min(len(ids), d + len(self.ids[t]) + int(self.room[t])), [t], [d]]
             while spans and now[0] <= spans[-1][1]:  # it may reach left over several
-                a, b, ps, ks = spans.pop()
-                ps += now[2]
-                ks += now[3]
-                now = [min(a, now[0]), max(b, now[1]), ps, ks]
+                a, b, items, diagonals = spans.pop()
+                items += now[2]
+                diagonals += now[3]
+                now = [min(a, now[0]), max(b, now[1]), items, diagonals]
             spans.append(now)
-        return [(ids[a:b], [s for _, s, _ in at[a:b]], [e for _, _, e in at[a:b]], ks, [p - a for p in ps]) for a, b, ps, ks in spans]
+        return [(ids[a:b], [s for _, s, _ in at[a:b]], [e for _, _, e in at[a:b]], items, [d - a for d in diagonals]) for a, b, items, diagonals in spans]
 
     def may_reach(self, t: int, b: np.ndarray) -> bool:
         """Whether the words that item t and b have in common could reach the item's least score."""
@@ -119,11 +136,8 @@ class Items:
                 todo += [(lo, lo + x), (lo + y, hi)]
         return sorted(out, key=lambda r: r[2])
 
-    def scores(self, ids: np.ndarray, keys: np.ndarray, places: np.ndarray, memo: dict) -> list[tuple[int, int, int, int, int]]:
+    def scores(self, ids: np.ndarray, t: np.ndarray, d: np.ndarray, memo: dict) -> list[tuple[int, int, int, int, int]]:
         """(item, score, matched, start, end) of a passage's alignments; start and end count its words."""
-        n = self.last[keys] - self.first[keys]
-        at = np.repeat(self.first[keys] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        t, d = self.t[at], np.repeat(places, n) - self.q[at]
         order = np.lexsort((d, t))
         t, d, out = t[order], d[order], set()
         for one in np.split(np.arange(len(t)), np.nonzero(np.diff(t))[0] + 1):
@@ -200,15 +214,16 @@ def _block(docs: DataFrame, tests: DataFrame, min_score: float, keep: list[str])
         def run(texts: list[str | None]):
             texts = [t or "" for t in texts]
             ids, starts = known_words(texts, items.vocab)
-            places = np.unique(np.searchsorted(starts, items.hits(ids)[0], side="right") - 1)
-            rows = [(r, *p) for r in places.tolist() for p in items.passages(texts[r])]
+            places, keys = items.hits(ids)
+            some = np.unique(items.rare(places, keys, np.searchsorted(starts, places, side="right") - 1)[0])
+            rows = [(r, *p) for r in some.tolist() for p in items.passages(texts[r])]
             return [r[0] for r in rows], [[r[k] for r in rows] for k in range(1, 6)]
 
         return run
 
-    passages = written(per_text(docs, keep, cut, "ids array<long>, starts array<int>, ends array<int>, seeds array<int>, places array<int>"))
+    passages = written(per_text(docs, keep, cut, "ids array<long>, starts array<int>, ends array<int>, items array<int>, diagonals array<int>"))
     # a passage goes through as JSON in the place of a text
-    out = passages.select(*keep, F.to_json(F.struct("ids", "starts", "ends", "seeds", "places")).alias("text"))
+    out = passages.select(*keep, F.to_json(F.struct("ids", "starts", "ends", "items", "diagonals")).alias("text"))
 
     def score():
         items, memo = held.value, {}
@@ -216,7 +231,7 @@ def _block(docs: DataFrame, tests: DataFrame, min_score: float, keep: list[str])
         def run(passages: list[str]):
             rows = []
             for r, p in enumerate(map(json.loads, passages)):
-                for t, top, matched, a, b in items.scores(np.array(p["ids"], np.int64), np.array(p["seeds"], np.int64), np.array(p["places"], np.int64), memo):
+                for t, top, matched, a, b in items.scores(np.array(p["ids"], np.int64), np.array(p["items"], np.int64), np.array(p["diagonals"], np.int64), memo):
                     rows.append((r, items.names[t], top / (2 * len(items.ids[t])), matched, p["starts"][a], p["ends"][b - 1]))
             return [r[0] for r in rows], [[r[k] for r in rows] for k in range(1, 6)]
 
