@@ -76,6 +76,12 @@ def inverse_averaged_frequencies(tokens: DataFrame, frequencies: DataFrame) -> D
     return each.join(frequencies.select("feature", "freq"), "feature").groupBy("form").agg(F.try_divide(F.lit(1.0), F.avg("freq")).alias("inv"))
 
 
+def summed_frequencies(counts: DataFrame, texts: list[str] | None = None) -> DataFrame:
+    """(feature, n) over all texts of counts(text_id, feature, n), or some, most frequent first."""
+    some = counts if texts is None else counts.filter(F.col("text_id").isin(texts))
+    return some.groupBy("feature").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "feature")
+
+
 def stoplist(counts: DataFrame, n: int) -> DataFrame:
     """The n most frequent features of counts(feature, n), ties by feature; a top-n, not a sort."""
     total = counts.groupBy("feature").agg(F.sum("n").alias("n")).filter("n > 0")

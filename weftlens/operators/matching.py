@@ -6,15 +6,18 @@ the sum of both sides', the score is ln(sum of inverse frequencies of the distin
 
 The plan: the stoplist goes first; then the target keeps the tokens whose feature the source has (a semi-join, broadcast up to
 a checked size), so that the whole target is never shuffled on its most skewed column; inverse frequencies join what is left;
-the hits are dealt out once by pair of units; pairs with a single hit go before anything is collected. The hits of a feature
-are df_target * df_source, which the stoplist keeps small; adaptive execution splits a skewed feature."""
+the tokens that are left are dealt out once, by target unit, and joined with the source there, so that the hits, which are many
+more, are never shuffled; pairs of units with a single hit go before anything is collected. A source beyond a broadcast is
+joined by feature, and the hits are dealt out by target unit. The hits of a feature are df_target * df_source, which the
+stoplist keeps small; adaptive execution splits a skewed feature."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..sources.scratch import sized
+from ..sources.scratch import fits, sized
 
 DISTANCES = ("frequency", "span")
 PAIR = ["t_unit", "s_unit"]
@@ -42,6 +45,19 @@ def side_distance(s: Column, metric: str) -> Column:
     return F.when(forms >= 2, gap).otherwise(0)
 
 
+def span_of(places: Column) -> Column:
+    """The older span distance of one side: last less first position, plus one."""
+    return F.array_max(places) - F.array_min(places) + 1
+
+
+def rarest_gap(places: Column) -> Column:
+    """The older frequency distance of one side's array of (freq, pos): from the first position of the lowest frequency to the last
+    one that has it, or to that of the next frequency if only one has it; plus one."""
+    s = F.array_sort(F.transform(places, lambda x: F.struct(x["freq"].alias("freq"), x["pos"].alias("pos"))))
+    low = F.size(F.filter(s, lambda x: x["freq"] == F.get(s, F.lit(0))["freq"]))
+    return F.abs(F.get(s, F.greatest(low - 1, F.lit(1)))["pos"] - F.get(s, F.lit(0))["pos"]) + 1
+
+
 def rarity(s: Column) -> Column:
     return F.aggregate(s, F.lit(0.0), lambda a, x: a - x["k"])
 
@@ -54,32 +70,29 @@ def with_rarity(features: DataFrame, inv: DataFrame | None) -> DataFrame:
 
 
 def position_pairs(target: DataFrame, source: DataFrame, t_inv: DataFrame | None = None, s_inv: DataFrame | None = None) -> DataFrame:
-    """target, source (unit, pos, form, feature[, inv]) to position pairs with the shared feature."""
+    """target, source (unit, pos, form, feature[, inv]) to position pairs with the shared feature, dealt out by t_unit."""
     shared = sized(source.select("feature").distinct())
     near = with_rarity(target.join(shared, "feature", "left_semi"), t_inv)
-    far = sized(with_rarity(source, s_inv))
+    far = with_rarity(source, s_inv)
     t, s = (x.select("feature", *[F.col(c).alias(f"{p}_{c}") for c in ("unit", "pos", "form", "inv")]) for x, p in ((near, "t"), (far, "s")))
-    return t.join(F.broadcast(s) if _hinted(far) else s, "feature")
-
-
-def _hinted(df: DataFrame) -> bool:
-    return "strategy=broadcast" in df._jdf.queryExecution().logical().toString()
+    if fits(s):
+        return t.repartition("t_unit").join(F.broadcast(s), "feature")
+    return t.join(s, "feature").repartition("t_unit")
 
 
-def candidates(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(the pairs dealt out by units, the units with two different position pairs). The second has no shuffle of its own."""
-    dealt = pairs.repartition(*PAIR)
-    both = F.struct("t_pos", "s_pos")
-    return dealt, dealt.groupBy(*PAIR).agg(F.min(both).alias("_a"), F.max(both).alias("_b")).filter("_a <> _b").select(*PAIR)
+def with_two_hits(pairs: DataFrame) -> DataFrame:
+    """The pairs of positions of units that have two different ones. They stay where they are: t_unit decides the task."""
+    unit = Window.partitionBy(*PAIR)
+    both = F.shiftleft(F.col("t_pos").cast("long"), 32) + F.col("s_pos")
+    return pairs.withColumn("_p", both).withColumns({"_a": F.min("_p").over(unit), "_b": F.max("_p").over(unit)}).filter("_a <> _b").drop("_p", "_a", "_b")
 
 
 def scored(pairs: DataFrame, distance: str = "frequency", max_distance: int | None = 10, min_score: float | None = None) -> DataFrame:
     """position_pairs() to (t_unit, s_unit, features, distance, score, highlight)."""
     if distance not in DISTANCES:
         raise ValueError(f"unknown distance {distance!r}")
-    dealt, two = candidates(pairs)
     hits = F.array_sort(F.collect_set(F.struct(F.col("s_pos"), F.col("t_pos"))))
-    units = dealt.join(two, PAIR, "left_semi").groupBy(*PAIR).agg(
+    units = with_two_hits(pairs).groupBy(*PAIR).agg(
         hits.alias("highlight"), side("t_inv", "t_pos", "t_form").alias("_t"), side("s_inv", "s_pos", "s_form").alias("_s"), F.array_sort(F.collect_set("feature")).alias("features"))
     units = units.withColumns({"_dt": side_distance(F.col("_t"), distance), "_ds": side_distance(F.col("_s"), distance)})
     units = units.filter((F.col("_dt") > 0) & (F.col("_ds") > 0)).withColumn("distance", F.col("_dt") + F.col("_ds"))
@@ -102,9 +115,9 @@ def match_sound(target: DataFrame, source: DataFrame, stop: DataFrame | None = N
     stoplist's too, with the index of their first occurrence in the unit and their multiplicities. Always the distance
     `frequency`; `inv` is that of the trigram."""
     pairs = position_pairs(*(without_stopwords(x, stop).withColumn("form", F.col("feature")) for x in (target, source)))
-    dealt, two = candidates(pairs)
     hits = F.array_sort(F.collect_set(F.struct(F.col("s_pos"), F.col("t_pos"))))
-    found = dealt.join(two, PAIR, "left_semi").groupBy(*PAIR).agg(hits.alias("highlight"), F.array_sort(F.collect_set("feature")).alias("features"))
+    found = with_two_hits(pairs).groupBy(*PAIR).agg(hits.alias("highlight"), F.array_sort(F.collect_set("feature")).alias("features"))
+    target = target.repartition("unit")  # as the hits are, so that the join below has no shuffle of its own
     per = lambda df, p: df.groupBy(F.col("unit").alias(f"{p}_unit"), "feature").agg(F.min("idx").alias(f"{p}_idx"), F.count(F.lit(1)).alias(f"{p}_n"), F.first("inv").alias(f"{p}_inv"))
     both = found.join(per(target, "t"), "t_unit").join(sized(per(source, "s")), ["s_unit", "feature"])
     weight = F.col("t_n") * F.col("s_n") * (F.coalesce("t_inv", F.lit(0.0)) + F.coalesce("s_inv", F.lit(0.0)))

@@ -20,7 +20,7 @@ def bigrams(features: DataFrame) -> DataFrame:
     both = a.join(b, ["text_id", "unit"]).filter("p1 < p2")
     score = F.log((F.coalesce("i1", F.lit(0.0)) + F.coalesce("i2", F.lit(0.0))) / (F.col("p2") - F.col("p1")))
     return (both.groupBy("text_id", "unit", F.least("f1", "f2").alias("w1"), F.greatest("f1", "f2").alias("w2"))
-            .agg(F.min_by(score, F.struct("p1", "p2", "f1")).alias("score")))
+            .agg(F.min_by(score, F.shiftleft(F.col("p1").cast("long"), 32) + F.col("p2")).alias("score")))
 
 
 def match_bigrams(matches: DataFrame) -> DataFrame:

@@ -375,6 +375,23 @@ def score_summary(spark, d):
     return R.summary(_table(spark, d, "orders").withColumnRenamed("o_totalprice", "score"))
 
 
+@query(f"WITH {TOK} SELECT form AS feature, CAST(count(*) AS BIGINT) AS n FROM tok WHERE doc_id IN (1, 2, 3, 5, 8) GROUP BY form")
+def summed_frequencies(spark, d):
+    """Counts of forms in a choice of texts, which is the query's parameter."""
+    n = Q.feature_counts(_tokens(spark, d, "documents", "doc_id").select(F.col("doc_id").cast("string").alias("text_id"), F.col("form").alias("feature")), "text_id")
+    return Q.summed_frequencies(n, ["1", "2", "3", "5", "8"])
+
+
+@query("""WITH s AS (SELECT l_orderkey, list({'f': l_quantity, 'p': l_linenumber} ORDER BY l_quantity, l_linenumber) AS s FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 2),
+k AS (SELECT *, len(list_filter(s, lambda x: x.f = s[1].f)) AS low FROM s)
+SELECT l_orderkey, CAST(list_max([x.p FOR x IN s]) - list_min([x.p FOR x IN s]) + 1 AS BIGINT) AS span, CAST(abs(s[greatest(low - 1, 1) + 1].p - s[1].p) + 1 AS BIGINT) AS gap FROM k""")
+def legacy_distances(spark, d):
+    """The two older distances, of the lines of an order with their quantity as frequency."""
+    each = F.collect_list(F.struct(F.col("l_quantity").alias("freq"), F.col("l_linenumber").alias("pos"))).alias("places")
+    one = _table(spark, d, "lineitem").groupBy("l_orderkey").agg(each).filter(F.size("places") >= 2)
+    return one.select("l_orderkey", M.span_of(F.col("places.pos")).cast("long").alias("span"), M.rarest_gap(F.col("places")).cast("long").alias("gap"))
+
+
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def insert_new_only(spark, d):
     return store.new_rows(_table(spark, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), _table(spark, d, "customer").select("c_custkey", "c_name"), ["c_custkey"])

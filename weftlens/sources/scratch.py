@@ -43,6 +43,11 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether df has at most so many rows. It is counted, so it should be written or cheap."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows. It is counted, so it should be written or cheap."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """df with a broadcast hint if it fits."""
+    return F.broadcast(df) if fits(df, rows) else df
