@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, near-dedup, benchmark decontamination, secret scans, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a DataFrame; all but the last
-return the columns of documents. Rejected, repeated and contaminated documents go; secrets are replaced in the text."""
+return the columns of documents, in their order, whatever other columns there are. Rejected, repeated and contaminated documents
+go; secrets are replaced in the text. An empty table goes through all stages; null ids stay null."""
 
 from __future__ import annotations
 
@@ -13,22 +14,27 @@ from weftlens.llm.common import written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep; null and empty texts, having less than 50 words, go."""
     return quality.passing(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the least id, of equal ids the least text. Texts without words all stay, repeated rows stay once."""
     return neardup.deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item; of an empty benchmark, all."""
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts replaced by a mark and n_chars counted again; a null text stays null."""
     return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Buckets, batches and slots of all documents by their numbers of words; the last stage."""
     return packing.pack(docs)
 
 
