@@ -71,6 +71,29 @@ def test_a_hot_group_whose_copies_are_alike_to_few_of_it(spark):
     assert {i: r.class_id for i, r in found(spark, rows).items()} == brute(rows)
 
 
+def test_candidates_of_a_hot_group_grow_with_it_not_with_its_square(spark):
+    """Copies of a 300-word text with six words edited: about 0.67 alike, thus all open and none linked."""
+    rng = random.Random(4)
+    base = [f"b{rng.randrange(10**6)}" for _ in range(300)]
+    made = {}
+    for n in (200, 800):
+        texts = [edited(base, 6, rng) for _ in range(n)]
+        keys = [i.to_bytes(24, "big") for i in range(n)]
+        open_ = spark.createDataFrame([(bytearray(k), 296, bytearray(k)) for k in keys], "key binary, n long, comp binary")
+        held = spark.createDataFrame([(bytearray(k), t) for k, t in zip(keys, texts, strict=True)], "key binary, text string")
+        made[n] = N.prefix_pairs(open_, held).count()
+    assert made[200] <= 200 and made[800] <= 800
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        ids = np.unique(rng.integers(0, 2**60, 200).astype(np.uint64))
+        a, b = (rng.integers(0, 3, len(ids)) * (rng.random(len(ids)) < 0.9) for _ in range(2))
+        bits = [N.parity(ids[w > 0], w[w > 0]).view(np.uint64) for w in (a, b)]
+        assert sum(int(x).bit_count() for x in bits[0] ^ bits[1]) <= np.abs(a - b).sum()
+
+
 def test_prefix_filter_keeps_every_pair(spark):
     rng = random.Random(3)
     base = [f"b{rng.randrange(40)}" for _ in range(120)]
