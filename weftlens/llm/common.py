@@ -58,7 +58,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 #: Rows and characters of texts that a Python worker holds at once; a longer text is held alone.
-PART_ROWS, PART_CHARS = 1024, 1 << 24
+PART_ROWS, PART_CHARS = 512, 1 << 22
 
 
 def parts_of(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
