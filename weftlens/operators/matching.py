@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.scratch import fits, sized
+from ..sources.scratch import fits, sized, written
 
 DISTANCES = ("frequency", "span")
 PAIR = ["t_unit", "s_unit"]
@@ -110,26 +110,31 @@ def match(target: DataFrame, source: DataFrame, stop: DataFrame | None = None, t
     return scored(position_pairs(without_stopwords(target, stop), without_stopwords(source, stop), t_inv, s_inv), **options)
 
 
-def match_sound(target: DataFrame, source: DataFrame, stop: DataFrame | None = None, max_distance: int | None = 999, min_score: float | None = None) -> DataFrame:
-    """Sound trigrams (unit, pos, idx, feature, inv): candidates and highlights as in match; then all shared trigrams count, the
-    stoplist's too, with the index of their first occurrence in the unit and their multiplicities. Always the distance
-    `frequency`; `inv` is that of the trigram."""
+def match_sound(target: DataFrame, source: DataFrame, stop: DataFrame | None = None, t_inv: DataFrame | None = None, s_inv: DataFrame | None = None,
+                max_distance: int | None = 999, min_score: float | None = None) -> DataFrame:
+    """Sound trigrams (unit, pos, idx, feature) with inverse frequencies (feature, inv): candidates and highlights as in match; then
+    all shared trigrams count, the stoplist's too, with the index of their first occurrence in the unit and their multiplicities.
+    Always the distance `frequency`. Trigrams are counted in the units of candidates only."""
     pairs = position_pairs(*(without_stopwords(x, stop).withColumn("form", F.col("feature")) for x in (target, source)))
     hits = F.array_sort(F.collect_set(F.struct(F.col("s_pos"), F.col("t_pos"))))
-    found = with_two_hits(pairs).groupBy(*PAIR).agg(hits.alias("highlight"), F.array_sort(F.collect_set("feature")).alias("features"))
-    target = target.repartition("unit")  # as the hits are, so that the join below has no shuffle of its own
-    per = lambda df, p: df.groupBy(F.col("unit").alias(f"{p}_unit"), "feature").agg(F.min("idx").alias(f"{p}_idx"), F.count(F.lit(1)).alias(f"{p}_n"), F.first("inv").alias(f"{p}_inv"))
-    both = found.join(per(target, "t"), "t_unit").join(sized(per(source, "s")), ["s_unit", "feature"])
+    found = written(with_two_hits(pairs).groupBy(*PAIR).agg(hits.alias("highlight"), F.array_sort(F.collect_set("feature")).alias("features")))
+
+    def per(df: DataFrame, p: str, inv: DataFrame | None) -> DataFrame:
+        units = sized(found.select(F.col(f"{p}_unit").alias("unit")).distinct())
+        held = df.join(units, "unit", "left_semi").groupBy("unit", "feature").agg(F.min("idx").alias(f"{p}_idx"), F.count(F.lit(1)).alias(f"{p}_n"))
+        table = held.select("feature").distinct().withColumn("inv", F.lit(None).cast("double")) if inv is None else inv.select("feature", "inv")
+        return held.join(sized(table), "feature", "left").withColumnsRenamed({"unit": f"{p}_unit", "inv": f"{p}_inv"})
+
+    both = found.select(*PAIR).join(per(target, "t", t_inv), "t_unit").join(sized(per(source, "s", s_inv)), ["s_unit", "feature"])
     weight = F.col("t_n") * F.col("s_n") * (F.coalesce("t_inv", F.lit(0.0)) + F.coalesce("s_inv", F.lit(0.0)))
-    out = both.groupBy(*PAIR).agg(
-        F.first("features").alias("features"), F.first("highlight").alias("highlight"), F.sum(weight).alias("_num"), side("t_inv", "t_idx", "feature").alias("_t"), side("s_inv", "s_idx", "feature").alias("_s"))
+    out = both.groupBy(*PAIR).agg(F.sum(weight).alias("_num"), side("t_inv", "t_idx", "feature").alias("_t"), side("s_inv", "s_idx", "feature").alias("_s"))
     out = out.withColumns({"_dt": side_distance(F.col("_t"), "frequency"), "_ds": side_distance(F.col("_s"), "frequency")}).filter((F.col("_dt") > 0) & (F.col("_ds") > 0))
     out = out.withColumn("distance", F.col("_dt") + F.col("_ds")).withColumn("score", F.log("_num") - F.log("distance"))
     if max_distance is not None:
         out = out.filter(F.col("distance") <= max_distance)
     if min_score is not None:
         out = out.filter(F.col("score") >= min_score)
-    return out.select("t_unit", "s_unit", "features", "distance", "score", "highlight")
+    return out.join(found, PAIR).select("t_unit", "s_unit", "features", "distance", "score", "highlight")
 
 
 def bridged(features: DataFrame, bridge: DataFrame, stop: DataFrame | None = None, far_stop: DataFrame | None = None) -> DataFrame:

@@ -31,6 +31,14 @@ def token_positions(units: DataFrame, id_col: str, pattern: str = r"\p{L}+") ->
     return units.select(id_col, "unit", F.posexplode(X.words(F.col("snippet"), pattern)).alias("pos", "form"))
 
 
+def trigram_positions(units: DataFrame, id_col: str, pattern: str = r"\p{L}+") -> DataFrame:
+    """(id, unit, idx, pos, feature): the sound trigrams of each unit, idx among all of the unit, pos that of their word. A unit is a
+    row, so numbering them needs no shuffle."""
+    of_word = lambda w, i: F.transform(X.trigrams(w), lambda g: F.struct(i.alias("pos"), g.alias("feature")))
+    every = F.flatten(F.transform(X.words(F.col("snippet"), pattern), of_word))
+    return units.select(id_col, "unit", F.posexplode(every).alias("idx", "_g")).select(id_col, "unit", "idx", "_g.pos", "_g.feature")
+
+
 @dataclass
 class Unit:
     tags: list[str]

@@ -238,11 +238,11 @@ def match_sound(spark, d):
     """Phrases of the documents against benchmark items by sound trigrams."""
     sides = []
     for table, key, by in (("documents", "doc_id", "phrase"), ("benchmark", "item_id", "line")):
-        g = written(R.trigram_places(E.exploded(E.sound_features(_tokens(spark, d, table, key, by)))))
-        n = written(Q.feature_counts(g))
-        sides.append((g.join(sized(Q.of_counts(n, "feature")), "feature"), n))
-    (t, tn), (s, _) = sides
-    return _shown(M.match_sound(t, s, Q.stoplist(tn, SOUND_STOP), max_distance=10))
+        g = N.trigram_positions(N.plain_units(_table(spark, d, table), key, "text", by), key)
+        g = written(g.select(F.concat_ws(":", key, "unit").alias("unit"), "idx", "pos", "feature"))
+        sides.append((g, written(Q.feature_counts(g))))
+    (t, tn), (s, sn) = sides
+    return _shown(M.match_sound(t, s, Q.stoplist(tn, SOUND_STOP), Q.of_counts(tn, "feature"), Q.of_counts(sn, "feature"), max_distance=10))
 
 
 def _bridge(tokens: DataFrame) -> DataFrame:

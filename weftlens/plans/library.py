@@ -42,7 +42,7 @@ def find_texts(store: Store, **wanted) -> DataFrame:
 
 
 def _note(store: Store, row: dict) -> None:
-    store.upsert("texts", store.spark.createDataFrame([row], TEXTS))
+    store.put("texts", [row], TEXTS)
 
 
 def note(store: Store, text_id: str, key: str, status: str) -> None:
@@ -119,8 +119,6 @@ def update_metadata(store: Store, path: str) -> int:
         row = text_row(store, d.pop("text_id"))
         extras = (row["extras"] or {}) | {k: str(v) for k, v in d.items() if k not in known}
         changed = row | {k: v for k, v in d.items() if k in known} | {"extras": extras}
-        if any(changed[k] != row[k] for k in ("language", "title", "author")):
-            store.delete("texts", text_id=row["text_id"])
         _note(store, changed)
     return len(changes)
 
@@ -194,7 +192,9 @@ def register_features(store: Store, language: str, feature: str, candidates: Dat
     """Give the tokens of candidates(token) that are not there an index, going on from the count; how many were new."""
     rows = candidates.filter("token is not null").select(F.lit(language).alias("language"), F.lit(feature).alias("feature"), "token", F.lit("").alias("text_id"), F.lit(0).alias("at"))
     known = store.read("features").filter((F.col("language") == language) & (F.col("feature") == feature)) if store.exists("features") else None
-    return store.insert("features", written(Q.registered(rows, known)), check=False)
+    new = written(Q.registered(rows, known))
+    store.insert("features", new, check=False)
+    return new.count()
 
 
 def setup(store: Store) -> dict[str, int]:

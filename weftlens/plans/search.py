@@ -69,7 +69,7 @@ def create_stoplist(store: Store, n: int, feature: str, language: str, basis: st
 
 def save_stoplist(store: Store, name: str, words: list[str]) -> None:
     """Keep a list under a name, replacing one of that name."""
-    store.upsert("stopwords", store.spark.createDataFrame([(name, sorted(set(words)))], "name string, stopwords array<string>"))
+    store.put("stopwords", [{"name": name, "stopwords": sorted(set(words))}], "name string, stopwords array<string>")
 
 
 def named_stoplist(store: Store, name: str) -> list[str]:
@@ -140,8 +140,7 @@ def original(store: Store, p: Params, source: dict, target: dict, stage: Callabl
     (t, ti), (s, si) = ready
     stage("match")
     if p.feature in ("sound", "test"):
-        t, s = (R.trigram_places(x).join(inv, "feature", "left") for x, inv in ((t, ti), (s, si)))
-        return M.match_sound(t, s, stop, max_distance=p.max_distance, min_score=p.min_score)
+        return M.match_sound(R.trigram_places(t), R.trigram_places(s), stop, ti, si, max_distance=p.max_distance, min_score=p.min_score)
     return M.match(t, s, stop, ti, si, distance=p.distance, max_distance=p.max_distance, min_score=p.min_score)
 
 
@@ -188,7 +187,7 @@ class Progress:
 
     def note(self, status: str, msg: str) -> None:
         row = self.row | {"status": status, "msg": msg, "last_queried": datetime.datetime.now(), "progress": [{"stage": s, "value": v} for s, v in self.stages]}
-        self.store.upsert("searches", self.store.spark.createDataFrame([row], SEARCHES))
+        self.store.put("searches", [row], SEARCHES)
 
     def stage(self, name: str) -> None:
         """The last stage is done, the next one begins."""
@@ -203,7 +202,7 @@ def cached(store: Store, p) -> str | None:
     row = store.read("searches").filter((F.col("key") == p.key()) & (F.col("status") == "Done")).first()
     if row is None:
         return None
-    store.update("searches", store.spark.createDataFrame([row.asDict(recursive=True) | {"last_queried": datetime.datetime.now()}], SEARCHES))
+    store.put("searches", [row.asDict(recursive=True) | {"last_queried": datetime.datetime.now()}], SEARCHES)
     return row.results_id
 
 

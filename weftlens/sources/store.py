@@ -26,7 +26,7 @@ KEYS = {
     "bigrams": ["text_id", "unit_type", "feature", "unit", "w1", "w2"],
 }
 #: What stands in for indexes: a lookup by these columns reads their folders only.
-PARTITIONS = {"units": ["text_id", "unit_type"], "tokens": ["text_id"], "feature_freq": ["language", "feature", "text_id"], "bigrams": ["text_id", "unit_type", "feature"],
+PARTITIONS = {"texts": ["text_id"], "stopwords": ["name"], "units": ["text_id", "unit_type"], "tokens": ["text_id"], "feature_freq": ["language", "feature", "text_id"], "bigrams": ["text_id", "unit_type", "feature"],
               "matches": ["search_id"], "multiresults": ["search_id"], "searches": ["results_id"], "dictionary": ["kind", "language"], "features": ["language", "feature"]}
 #: And the order within files, so that row groups are skipped.
 SORTED = {"bigrams": ["w1", "w2"], "matches": ["score"], "units": ["unit", "pos"]}
@@ -136,11 +136,13 @@ class Store:
     def _values(leaf: str) -> dict[str, str]:
         return {k: unquote(v) for k, v in (x.split("=", 1) for x in leaf.split("/") if "=" in x)}
 
-    def _add(self, table: str, df: DataFrame) -> list[str]:
+    def _add(self, table: str, df: DataFrame, few: bool = False) -> list[str]:
         """Write rows; the leaf folders that hold them."""
         folder = f"{self.root}/{table}/_gen={uuid.uuid4().hex}"
         by, order = PARTITIONS.get(table, []), [c for c in SORTED.get(table, []) if c in df.columns]
-        if by:
+        if few:
+            df = df.coalesce(1)
+        elif by:
             df = df.repartition(*by, *[F.pmod(F.xxhash64(*order), F.lit(16)) for _ in order[:1]]) if order else df.repartition(*by)
         if order:
             df = df.sortWithinPartitions(*by, *order)
@@ -174,7 +176,7 @@ class Store:
 
     # writing
 
-    def _change(self, table: str, df: DataFrame | None, drop: set[str] | None = None) -> None:
+    def _change(self, table: str, df: DataFrame | None, drop: set[str] | None = None, few: bool = False) -> None:
         """Add rows and drop leaf folders in one entry."""
         entry = self._entry(table)
         old = entry["leaves"] if entry else []
@@ -183,7 +185,7 @@ class Store:
             schema = StructType([*schema.fields, *[f for f in df.schema.fields if f.name not in schema.fieldNames()]])
         for f in schema.fields:
             f.nullable = True
-        fresh = self._add(table, df) if df is not None else []
+        fresh = self._add(table, df, few) if df is not None else []
         self._commit(table, entry["number"] + 1 if entry else 0, [x for x in old if not drop or x not in drop] + fresh, schema)
 
     def write(self, table: str, df: DataFrame) -> None:
@@ -191,12 +193,13 @@ class Store:
         entry = self._entry(table)
         self._change(table, df, set(entry["leaves"]) if entry else None)
 
-    def insert(self, table: str, df: DataFrame, check: bool = True) -> int:
-        """Append rows, without `check` all of them, else one for each natural key that is not there yet; the number of rows."""
-        if check:
-            keys = KEYS[table]
-            df = new_rows(self.read(table), df, keys) if self.exists(table) else df.dropDuplicates(keys)
-        df = written(df)
+    def insert(self, table: str, df: DataFrame, check: bool = True) -> int | None:
+        """Append rows, without `check` all of them, else one for each natural key that is not there yet; then the number of rows."""
+        if not check:
+            self._change(table, df)
+            return None
+        keys = KEYS[table]
+        df = written(new_rows(self.read(table), df, keys) if self.exists(table) else df.dropDuplicates(keys))
         n = df.count()
         if n or not self.exists(table):
             self._change(table, df)
@@ -219,6 +222,13 @@ class Store:
             raise ValueError("a row to update does not exist")
         self._change(table, written(upserted(now, df, keys)), touched)
 
+    def put(self, table: str, rows: list[dict], schema: str) -> None:
+        """Add a few rows of a partitioned table in the place of those of their partitions: nothing is read."""
+        named = {tuple(str(r[k]) for k in PARTITIONS[table]) for r in rows}
+        entry = self._entry(table)
+        old = {x for x in (entry["leaves"] if entry else []) if tuple(self._values(x).get(k) for k in PARTITIONS[table]) in named}
+        self._change(table, self.spark.createDataFrame(rows, schema), old, few=True)
+
     def upsert(self, table: str, df: DataFrame) -> None:
         if not self.exists(table):
             self.insert(table, df)
