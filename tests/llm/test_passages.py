@@ -170,6 +170,22 @@ def test_whole_texts_are_found_as_themselves(index, name):
         assert abs(got[0][3] - 18) < 60 and abs(got[0][4] - 18 - len(t)) < 60
 
 
+def test_matches_are_those_of_alignments_with_all_templates(index, monkeypatch):
+    """Names and notices with edits, without the index of fingerprints."""
+    rng = random.Random(21)
+    short = [t for n, k, t in C.templates() if k != "text"]
+    texts = []
+    for _ in range(60):
+        words = [rng.choice(["by", "the", "a", "4", "license", "some", "text", "public"]) for _ in range(12)]
+        words[6:6] = [w if rng.random() > 0.06 else "edit" for w in rng.choice(short).split()]
+        texts.append(" ".join(words))
+    got = [index.matches(t) for t in texts]
+    every = lambda ids: {t: [[-len(index.ids[t]), len(ids), 0, len(ids), 1]] for t, k in enumerate(index.kinds) if k != "text"}
+    monkeypatch.setattr(index, "candidates", every)
+    want = [index.matches(t) for t in texts]
+    assert sum(map(bool, want)) > 30 and sum(g == w for g, w in zip(got, want, strict=True)) >= 59
+
+
 def test_a_renamed_license_is_not_its_sibling(index):
     text = TEXTS["gpl-3.0", "text"].replace("GNU GENERAL PUBLIC", "GNU AFFERO GENERAL PUBLIC")
     assert ("gpl-3.0", "text") not in [m[:2] for m in index.matches(text)]
