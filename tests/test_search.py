@@ -354,6 +354,11 @@ def test_span_distance_of_random_positions(spark):
     assert {r.t_unit: r.distance for r in got} == want
 
 
+def test_frequencies_of_some_texts(spark):
+    n = spark.createDataFrame([("x", "a", 2), ("y", "a", 3), ("y", "b", 9), ("z", "b", 1)], "text_id string, feature string, n long")
+    assert [tuple(r) for r in Q.summed_frequencies(n).collect()] == [("b", 10), ("a", 5)] and [tuple(r) for r in Q.summed_frequencies(n, ["x", "y"]).collect()] == [("b", 9), ("a", 5)]
+
+
 def test_filters(spark):
     df = spark.createDataFrame([(1, "a"), (5, "b"), (9, None)], "n int, s string")
     n = lambda **w: sorted(r.n for r in df.filter(P.build_filter(**w)).collect())

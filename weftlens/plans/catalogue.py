@@ -375,11 +375,11 @@ def score_summary(spark, d):
     return R.summary(_table(spark, d, "orders").withColumnRenamed("o_totalprice", "score"))
 
 
-@query(f"WITH {TOK} SELECT form AS feature, CAST(count(*) AS BIGINT) AS n FROM tok WHERE doc_id IN (1, 2, 3, 5, 8) GROUP BY form")
+@query(f"WITH {TOK} SELECT form AS feature, CAST(count(*) AS BIGINT) AS n FROM tok GROUP BY form")
 def summed_frequencies(spark, d):
-    """Counts of forms in a choice of texts, which is the query's parameter."""
+    """Counts of forms summed up over the texts, most frequent first."""
     n = Q.feature_counts(_tokens(spark, d, "documents", "doc_id").select(F.col("doc_id").cast("string").alias("text_id"), F.col("form").alias("feature")), "text_id")
-    return Q.summed_frequencies(n, ["1", "2", "3", "5", "8"])
+    return Q.summed_frequencies(n)
 
 
 @query("""WITH s AS (SELECT l_orderkey, list({'f': l_quantity, 'p': l_linenumber} ORDER BY l_quantity, l_linenumber) AS s FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 2),
