@@ -18,9 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.scratch import fits, sized, written
+from .frequency import least_shared, shared_sums
 
 DISTANCES = ("frequency", "span")
 PAIR = ["t_unit", "s_unit"]
+#: Features with a common translation that one task pairs with all of them.
+GROUP = 1000
 
 
 def without_stopwords(features: DataFrame, stop: DataFrame | None) -> DataFrame:
@@ -152,18 +155,23 @@ def match_bridge(near: DataFrame, far: DataFrame, bridge: DataFrame, stop: DataF
 def bridge_closure(bridge: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
     """(feature, sibling): features with a common translation, of a vocabulary (feature) if one is given.
 
-    The self-join is quadratic in the features that share a translation; a dictionary has few, and adaptive execution splits
-    a translation that many share."""
+    The rows are quadratic in the features that share a translation. They are made where two features meet at the least translation
+    that they share, and never shuffled or kept; a translation that many share is dealt out in parts of GROUP features."""
     if vocabulary is not None:
         bridge = bridge.join(vocabulary.select("feature").distinct(), "feature", "left_semi")
-    other = bridge.select(F.col("feature").alias("sibling"), "other")
-    return bridge.join(other, "other").select("feature", "sibling").distinct()
+    sets = bridge.groupBy("feature").agg(F.array_sort(F.collect_set("other")).alias("_set"))
+    parts = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("_by")) / GROUP).cast("int")
+    several = F.when(F.size("_set") > 1, F.col("_set"))  # one translation is shared or not: nothing to compare
+    each = written(sets.select("feature", several.alias("_set"), F.explode("_set").alias("_by")).withColumn("_parts", parts))
+    near = each.select("feature", F.col("_set").alias("_near"), "_by", F.pmod(F.xxhash64("feature"), F.col("_parts").cast("long")).cast("int").alias("_part"))
+    far = each.select(F.col("feature").alias("sibling"), F.col("_set").alias("_far"), "_by", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    first = F.when(F.col("_near").isNull() | F.col("_far").isNull(), True).otherwise(least_shared("_near", "_far") == F.col("_by"))
+    return near.join(far, ["_by", "_part"]).filter(first).select("feature", "sibling")
 
 
 def bridge_inverse_frequencies(counts: DataFrame, total: int | Column, bridge: DataFrame) -> DataFrame:
     """(form, inv): total / (count of the form and of its distinct translation siblings). counts(form, n) are those of the
     tokens that share a lemma with the form; the bridge's features are looked up among the forms."""
-    siblings = bridge_closure(bridge, counts.select(F.col("form").alias("feature"))).select(F.col("feature").alias("form"), "sibling")
-    siblings = siblings.unionByName(counts.select("form", F.col("form").alias("sibling"))).distinct()
-    summed = siblings.join(counts.select(F.col("form").alias("sibling"), "n"), "sibling").groupBy("form").agg(F.sum("n").alias("n"))
-    return summed.select("form", F.try_divide(F.lit(total) if isinstance(total, int) else total, F.col("n")).alias("inv")).filter("inv is not null")
+    summed = shared_sums(bridge.select(F.col("feature").alias("form"), F.col("other").alias("feature")), counts)
+    every = counts.filter(F.col("form").isNotNull()).select("form", "n").join(summed.withColumnRenamed("n", "_shared"), "form", "left").withColumn("n", F.coalesce("_shared", "n"))
+    return every.select("form", F.try_divide(F.lit(total) if isinstance(total, int) else total, F.col("n")).alias("inv")).filter("inv is not null")
