@@ -49,3 +49,43 @@ def test_bridge_frequencies_keep_forms_without_a_translation(spark):
     bridge = spark.createDataFrame([("a", "x"), ("b", "x"), ("b", "y"), ("c", "y"), ("unknown", "y")], "feature string, other string")
     got = {r.form: r.inv for r in M.bridge_inverse_frequencies(n, 30, bridge).collect()}
     assert got == pytest.approx({"a": 10.0, "b": 30 / 7, "c": 5.0, "lone": 3.75})
+
+
+def test_bigrams_make_each_pair_once(spark):
+    """Against all positions; before, every pair of positions went into an aggregate by pair."""
+    from math import log
+    from random import Random
+
+    from weftlens.operators import multitext as U
+
+    draw = Random(3)
+    rows = [("t", u, p, inv, w) for u in range(20) for p in range(12) for w, inv in draw.sample([("a", 1.0), ("b", 2.5), ("c", 4.0), ("d", 7.0), ("e", None)], draw.choice((1, 1, 2)))]
+    want = {}
+    for _, u, p, i, f in rows:
+        for _, v, q, j, g in rows:
+            if u == v and p < q:
+                k, at = (u, min(f, g), max(f, g)), (p, q)
+                if k not in want or at < want[k][0]:
+                    want[k] = at, log(((i or 0) + (j or 0)) / (q - p)) if i or j else None
+    got = U.bigrams(spark.createDataFrame(rows, "text_id string, unit int, pos int, inv double, feature string"))
+    found = {(r.unit, r.w1, r.w2): r.score for r in got.collect()}
+    assert found.keys() == want.keys()
+    assert all(found[k] == (None if want[k][1] is None else pytest.approx(want[k][1])) for k in want)
+    assert "Exchange" not in above_join(got) and "Aggregate" not in above_join(got)
+
+
+def test_trigrams_of_the_vocabulary(spark):
+    from weftlens.operators import features as E
+
+    t = spark.createDataFrame([("banana",), ("banana",), ("ban",), ("an",)], "form string")
+    n = t.groupBy("form").agg(F.count(F.lit(1)).alias("n"))
+    got = {r.feature: r.n for r in Q.counts_by_form(n, E.sound_features).collect()}
+    assert got == {"ban": 3, "ana": 4, "nan": 2}
+
+
+def test_plain_units_are_nested_without_a_shuffle(spark):
+    from weftlens.operators import units as N
+
+    got = N.plain_nested_units(N.plain_units(spark.createDataFrame([(7, "One two\n12\n\nthree one"), (8, None)], "id long, text string"), "id", "text"), "id")
+    assert [(r.id, r.unit, r.forms, [(t.pos, t.form) for t in r.tokens]) for r in got.collect()] == [(7, 0, ["one", "two"], [(0, "one"), (1, "two")]), (7, 3, ["three", "one"], [(0, "three"), (1, "one")])]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
