@@ -89,3 +89,44 @@ def test_plain_units_are_nested_without_a_shuffle(spark):
     got = N.plain_nested_units(N.plain_units(spark.createDataFrame([(7, "One two\n12\n\nthree one"), (8, None)], "id long, text string"), "id", "text"), "id")
     assert [(r.id, r.unit, r.forms, [(t.pos, t.form) for t in r.tokens]) for r in got.collect()] == [(7, 0, ["one", "two"], [(0, "one"), (1, "two")]), (7, 3, ["three", "one"], [(0, "three"), (1, "one")])]
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_matches_are_dealt_out_by_their_hits(spark, monkeypatch):
+    """Before, the parts did not follow the hits, and tasks spilled."""
+    monkeypatch.setattr(M, "HITS", 50)
+    schema = "unit string, pos int, form string, feature string, inv double"
+    t = spark.createDataFrame([(f"t{u}", p, w, w, 2.0) for u in range(100) for p, w in enumerate("ab")], schema)
+    s = spark.createDataFrame([(f"s{u}", p, w, w, 2.0) for u in range(5) for p, w in enumerate("ab")], schema)
+    assert M.dealt(t.withColumnRenamed("unit", "t_unit"), s).rdd.getNumPartitions() == 20
+    assert M.match(t, s, max_distance=None).count() == 500
+
+
+def test_large_frequency_tables_are_cut_to_the_forms(spark, monkeypatch):
+    monkeypatch.setattr(M, "fits", lambda df, rows=0: False)
+    t = spark.createDataFrame([("t", 0, "a", "x"), ("t", 1, "lone", "x")], "unit string, pos int, form string, feature string")
+    got = M.with_rarity(t, spark.createDataFrame([("a", 2.0), ("b", 3.0)], "form string, inv double"))
+    assert sorted((r.form, r.inv) for r in got.collect()) == [("a", 2.0), ("lone", None)]
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranks_read_their_matches_once(spark):
+    from weftlens.operators import results as R
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        seen.add(1)
+        return x
+
+    m = spark.range(50).select("id", F.udf(count, "double")(F.col("id").cast("double")).alias("score"))
+    got = R.ranked(m, ("id",)).collect()
+    assert sorted((r.result, r.id) for r in got) == [(i + 1, 49 - i) for i in range(50)] and max(r.normal_score for r in got) == 10
+    assert seen.value == 50
+
+
+def test_registered_numbers_order_as_the_structs(spark):
+    rows = [("l", "form", w, i, at) for w, i, at in [("a", 12, 7), ("a", 3, 100000), ("b", 3, 99999), ("c", 3, 200001), ("d", 100, 0), ("e", -4, 5)]]
+    df = spark.createDataFrame(rows, "language string, feature string, token string, text_id long, at long")
+    got = Q.registered(df)
+    assert {r.token: r["index"] for r in got.collect()} == {"e": 0, "b": 1, "a": 2, "c": 3, "d": 4}
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()

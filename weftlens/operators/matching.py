@@ -24,6 +24,8 @@ DISTANCES = ("frequency", "span")
 PAIR = ["t_unit", "s_unit"]
 #: Features with a common translation that one task pairs with all of them.
 GROUP = 1000
+#: Pairs of positions that a task sorts; a unit's stay together.
+HITS = 1_000_000
 
 
 def without_stopwords(features: DataFrame, stop: DataFrame | None) -> DataFrame:
@@ -66,10 +68,23 @@ def rarity(s: Column) -> Column:
 
 
 def with_rarity(features: DataFrame, inv: DataFrame | None) -> DataFrame:
-    """features with the column inv, from a table (form, inv) if one is given; null for a form that it lacks."""
+    """features with the column inv, from a table (form, inv) if one is given; null for a form that it lacks.
+
+    Of a table beyond a broadcast only the forms of the features are kept, so that the features themselves are not shuffled."""
     if inv is None:
         return features if "inv" in features.columns else features.withColumn("inv", F.lit(None).cast("double"))
-    return features.drop("inv").join(sized(inv.select("form", "inv")), "form", "left")
+    inv = inv.select("form", "inv")
+    if not fits(inv):
+        inv = written(inv.join(features.select("form").distinct(), "form", "left_semi"))
+    return features.drop("inv").join(sized(inv), "form", "left")
+
+
+def dealt(near: DataFrame, far: DataFrame) -> DataFrame:
+    """near by t_unit, in as many parts as their hits with far ask for: a task sorts about HITS of them, in memory."""
+    df = near.groupBy("feature").agg(F.count(F.lit(1)).alias("_n")).join(F.broadcast(far.groupBy("feature").agg(F.count(F.lit(1)).alias("_m"))), "feature")
+    hits = df.agg(F.sum(F.col("_n") * F.col("_m"))).first()[0] or 0
+    parts = max(int(near.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-hits // HITS))
+    return near.repartition(min(parts, 100_000), "t_unit")
 
 
 def position_pairs(target: DataFrame, source: DataFrame, t_inv: DataFrame | None = None, s_inv: DataFrame | None = None) -> DataFrame:
@@ -79,7 +94,7 @@ def position_pairs(target: DataFrame, source: DataFrame, t_inv: DataFrame | None
     far = with_rarity(source, s_inv)
     t, s = (x.select("feature", *[F.col(c).alias(f"{p}_{c}") for c in ("unit", "pos", "form", "inv")]) for x, p in ((near, "t"), (far, "s")))
     if fits(s):
-        return t.repartition("t_unit").join(F.broadcast(s), "feature")
+        return dealt(t, s).join(F.broadcast(s), "feature")
     return t.join(s, "feature").repartition("t_unit")
 
 
