@@ -50,6 +50,7 @@ def numbered(ordered: DataFrame, name: str) -> DataFrame:
 
 def ranked(matches: DataFrame, tie: tuple[str, ...] = ()) -> DataFrame:
     """`result` from 1 by falling score, and `normal_score` = score * 10 / best."""
+    matches = written(matches)  # else the sort's bounds, the sort and the best score would each make them anew
     best = matches.agg(F.max("score").alias("_best"))
     out = numbered(matches.orderBy(F.desc("score"), *tie), "result")
     return out.join(F.broadcast(best)).withColumn("normal_score", F.col("score") * 10 / F.col("_best")).drop("_best")
