@@ -130,3 +130,61 @@ def test_registered_numbers_order_as_the_structs(spark):
     got = Q.registered(df)
     assert {r.token: r["index"] for r in got.collect()} == {"e": 0, "b": 1, "a": 2, "c": 3, "d": 4}
     assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def _sound_rows(df):
+    return sorted((r.t_unit, r.s_unit, tuple(r.features), r.distance, round(r.score, 9), tuple(map(tuple, r.highlight))) for r in df.collect())
+
+
+def test_sound_matches_of_rows_are_those_of_the_joins(spark, monkeypatch):
+    """Also with names that have several rows, other alphabets, small parts, and a source beyond the bound."""
+    from random import Random
+
+    import pyarrow as pa
+
+    from weftlens.operators import sound as S
+
+    draw = Random(3)
+    word = lambda: "".join(draw.choice("abcé語") for _ in range(draw.randint(1, 6)))
+    unit = lambda rows: [" ".join(word() for _ in range(draw.randint(0, 12))) for _ in range(rows)]
+    t, s = ([(f"{p}{i}", unit(draw.choice((1, 1, most)))) for i in range(n)] for p, n, most in (("t", 60, 3), ("s", 12, 1)))
+    td, sd = (spark.createDataFrame(x, "unit string, forms array<string>") for x in (t, s))
+    tn, sn = S.counts(td), S.counts(sd)
+    assert {tuple(r) for r in tn.collect()} == {tuple(r) for r in S.positions(td).groupBy("feature").count().collect()}
+    ask = (Q.stoplist(tn, 8), Q.of_counts(tn, "feature"), Q.of_counts(sn, "feature"))
+    got = S.match(td, sd, *ask, max_distance=None)
+    want = M.match_sound(S.positions(td), S.positions(sd), *ask, max_distance=None)
+    rows = _sound_rows(got)
+    assert len(rows) > 50 and rows == _sound_rows(want) and got.dtypes == want.dtypes
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+    forms = pa.array([f for _, f in t], pa.list_(pa.string()))
+    features = sorted(r.feature for r in sn.collect())
+    source = lambda: S.Source([u for u, _ in s], pa.array([f for _, f in s], pa.list_(pa.string())), features, [False] * len(features), [1.0] * len(features), [1.0] * len(features))
+    seen = lambda: sorted((int(u), int(v), int(d), round(float(x), 9)) for a in source().match(forms, None, None) for u, v, d, x in zip(a[0], a[1], a[4], a[5], strict=True))
+    whole = seen()
+    for name, small in (("PART_CELLS", 30), ("CELLS", 8), ("DENSE", 0)):
+        monkeypatch.setattr(S, name, small)
+    assert len(whole) > 50 and seen() == whole
+    monkeypatch.setattr(S, "BROADCAST_ROWS", 10)
+    assert _sound_rows(S.match(td, sd, *ask, max_distance=None)) == rows
+
+
+def test_match_sound_shuffles_no_unit(spark, tmp_path):
+    """Before, the trigrams of all candidates were shuffled; and units of repeated or null ids were not those of the SQL."""
+    import duckdb
+
+    from weftlens.plans import catalogue
+
+    con, sf = duckdb.connect(), "/root/testdata/sf0.001"
+    con.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{sf}/benchmark.parquet'")
+    con.execute(f"""CREATE TABLE documents AS SELECT * FROM '{sf}/documents.parquet' UNION ALL SELECT * FROM '{sf}/documents.parquet' WHERE doc_id % 2 = 0
+      UNION ALL SELECT NULL, text, lang, source, n_chars FROM '{sf}/documents.parquet' WHERE doc_id % 3 = 0""")
+    for t in ("benchmark", "documents"):
+        con.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
+    got = catalogue.queries()["match_sound"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    want = con.execute(catalogue.oracle_sql()["match_sound"]).fetchall()
+    near = lambda rows: sorted((*r[:4], round(r[4], 5)) for r in rows)
+    assert len(want) > 20 and near(want) == near(tuple(r) for r in got.collect())
